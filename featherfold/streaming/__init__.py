@@ -1,0 +1 @@
+"""Left empty on purpose: the workload this library covers has no streams."""
