@@ -90,9 +90,7 @@ _STATUS_SLICES = [("ALL_", _STATUS_SPEC, None), ("OPEN_", _STATUS_SPEC, "o_order
     f"WITH {slices_sql('orders', 'o_custkey', _STATUS_SLICES)} SELECT * FROM features",
 )
 def g4(spark, d):
-    s = F.col("o_orderstatus")
-    slices = [Slice(_STATUS_SPEC, "ALL_"), Slice(_STATUS_SPEC, "OPEN_", s == "O"), Slice(_STATUS_SPEC, "DONE_", s == "F")]
-    return aggregate(table(spark, d, "orders"), "o_custkey", slices)
+    return aggregate(table(spark, d, "orders"), "o_custkey", [Slice(s, p, w) for p, s, w in _STATUS_SLICES])
 
 
 _KINDS = {"URGENT_": "1-URGENT", "HIGH_": "2-HIGH", "MEDIUM_": "3-MEDIUM", "NONE_": "4-NOT SPECIFIED", "LOW_": "5-LOW"}
@@ -106,7 +104,7 @@ _KIND_SPEC = {"o_totalprice": ["mean", "max"]}
     + " SELECT * FROM features",
 )
 def g5(spark, d):
-    kinds = [Slice(_KIND_SPEC, p, F.col("o_orderpriority") == v) for p, v in _KINDS.items()]
+    kinds = [Slice(_KIND_SPEC, p, f"o_orderpriority = '{v}'") for p, v in _KINDS.items()]
     return aggregate(table(spark, d, "orders"), "o_custkey", [Slice({"o_orderkey": ["size"]}), *kinds])
 
 
@@ -120,9 +118,8 @@ _RECENT_SPEC = {"AMT_CREDIT_SUM": ["max", "sum"], "AMT_CREDIT_MAX_OVERDUE": ["ma
         ('LAST12M_', _RECENT_SPEC, '"DAYS_CREDIT" >= -360')])} SELECT * FROM features""",
 )
 def g6(spark, d):
-    days = F.col("DAYS_CREDIT")
     slices = [Slice({"DAYS_CREDIT": ["max"]})]
-    slices += [Slice(_RECENT_SPEC, f"LAST{m}M_", days >= -30 * m) for m in (6, 12)]
+    slices += [Slice(_RECENT_SPEC, f"LAST{m}M_", f"DAYS_CREDIT >= {-30 * m}") for m in (6, 12)]
     return aggregate(credit(spark, d, "bureau"), CUSTOMER, slices)
 
 
@@ -137,7 +134,7 @@ _HISTORY_SPEC = {"AMT_PAYMENT": ["min", "max", "mean", "sum"], "SK_ID_PREV": ["s
 )
 def g7(spark, d):
     df = keep_loans_seen_since(credit(spark, d, "installments"), "SK_ID_PREV", "DAYS_INSTALMENT", "seen")
-    slices = [Slice({"SK_ID_PREV": ["size"]})] + [Slice(_HISTORY_SPEC, f"INS_{m}M_", F.col("seen") >= -30 * m) for m in (36, 60)]
+    slices = [Slice({"SK_ID_PREV": ["size"]})] + [Slice(_HISTORY_SPEC, f"INS_{m}M_", f"seen >= {-30 * m}") for m in (36, 60)]
     return aggregate(df, CUSTOMER, slices)
 
 

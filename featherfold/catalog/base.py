@@ -6,11 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.starmap import credit_table, select_text
+from ..plans.starmap import base_tables_of, credit_table, select_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+BASE_TABLES = ("customer", "orders", "lineitem", "events")
 
 
 def query(name: str, sql: str | None = None):
@@ -31,13 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def base(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: table(spark, sf_dir, n) for n in BASE_TABLES}
+def base(spark: SparkSession, sf_dir: str, names: Sequence[str] = BASE_TABLES) -> dict[str, DataFrame]:
+    return {n: table(spark, sf_dir, n) for n in names}
 
 
 def credit(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One credit table over the star schema."""
-    return credit_table(spark, name, base(spark, sf_dir))
+    return credit_table(spark, name, base(spark, sf_dir, base_tables_of(name)))
 
 
 def credit_sql(*names: str) -> str:

@@ -151,7 +151,7 @@ _J2 = {"l_quantity": ["mean", "max"]}
     SELECT * FROM a LEFT JOIN r USING (l_suppkey)""",
 )
 def j2(spark, d):
-    slices = [Slice(_J2, "ALL_"), Slice(_J2, "RET_", F.col("l_returnflag") == "R")]
+    slices = [Slice(_J2, "ALL_"), Slice(_J2, "RET_", "l_returnflag = 'R'")]
     return aggregate_unfused(table(spark, d, "lineitem"), "l_suppkey", slices)
 
 

@@ -149,6 +149,11 @@ def month_to_timestamp(offset: Colish, anchor: str = "2016-01-01", calendar: boo
     return F.timestamp_seconds(base + as_col(offset).cast("long") * F.lit(SECONDS_PER_MEAN_MONTH))
 
 
+def all_present(cols: Sequence[Colish]) -> Column:
+    """No column is missing.  Plain null tests reach the scan and let equal subplans be shared."""
+    return reduce(lambda a, b: a & b, [as_col(c).isNotNull() for c in cols])
+
+
 def stable_hash(cols: Sequence[Colish], seed: int | str) -> Column:
     """Hex digest of the columns and a seed: the same on every run, engine and partitioning."""
     return F.md5(F.concat_ws("-", *[as_col(c).cast("string") for c in cols], F.lit(str(seed))))

@@ -2,9 +2,12 @@
 
 Several slices of one table (all rows, active loans, last six months, ...) are
 worked out in a single ``groupBy``: a slice turns each function into
-``f(when(condition, column))``.  One scan and one shuffle then replace a
+``f(column) FILTER (WHERE condition)``.  One scan and one shuffle then replace a
 filter, a group-by and a join back for every slice.  All functions but the
 distinct count combine map-side, so a hot key costs one partial row per task.
+
+Aggregates are handed over as SQL text: one call per output column, where column
+objects would take a dozen.  Wide frames have several hundred outputs.
 """
 
 from __future__ import annotations
@@ -12,23 +15,24 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..functions.scalar import as_col, ratio
-from .ordered import exact_quantiles, first_value, last_value
+from ..functions.scalar import all_present, as_col, ratio
+from .ordered import exact_quantiles
 
 Spec = Mapping[str, Sequence[str]]
+SMALL_GROUPS = 100_000  # rows of a group table that may be broadcast: some ten megabytes
 
 
 @dataclass(frozen=True)
 class Slice:
-    """Aggregates ``spec`` over the rows where ``where`` holds; names get ``prefix``."""
+    """Aggregates ``spec`` over the rows where the SQL condition ``where`` holds; names get ``prefix``."""
 
     spec: Spec
     prefix: str = ""
-    where: Column | None = None
+    where: str | None = None
     names: Mapping[tuple[str, str], str] = field(default_factory=dict)
 
     def name(self, column: str, func: str) -> str:
@@ -53,29 +57,30 @@ def shares(columns: Sequence[str]) -> dict[str, list[str]]:
     return {c: ["mean"] for c in columns}
 
 
-def _expression(func: str, x: Column, where: Column | None, order: Sequence[str]) -> Column:
-    """One aggregate; NULL when the slice has no row, as after an unmatched left join."""
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(func: str, x: str, where: str | None, order: Sequence[str]) -> str:
+    """SQL of one aggregate; NULL when the slice has no row, as after an unmatched left join."""
+    only = f" FILTER (WHERE {where})" if where else ""
     if func == "size":
-        return F.count(F.lit(1)) if where is None else F.nullif(F.count_if(where), F.lit(0))
+        return f"nullif(count(1){only}, 0)" if where else "count(1)"
     if func == "sum":
-        # double: integer keys and counts cannot overflow
-        total = F.coalesce(F.sum(x.cast("double")), F.lit(0.0))
-        return total if where is None else F.when(F.count_if(where) > 0, total)
-    if func == "mean":
-        return F.avg(x)
-    if func == "var":
-        return F.var_samp(x)
-    if func == "std":
-        return F.stddev_samp(x)
-    if func == "min":
-        return F.min(x)
-    if func == "max":
-        return F.max(x)
+        # double: integer keys and counts cannot overflow; all values missing gives 0
+        total = f"coalesce(sum(cast({x} AS double)){only}, 0D)"
+        return f"if(count(1){only} > 0, {total}, NULL)" if where else total
     if func in ("first", "last"):
         if not order:
             raise ValueError("first/last need an order")
-        return (first_value if func == "first" else last_value)(x, order)
-    raise ValueError(f"unknown aggregate function: {func}")
+        pick = "min_by" if func == "first" else "max_by"
+        by = ", ".join([*[quoted(o) for o in order], x])
+        return f"{pick}({x}, if({x} IS NOT NULL, struct({by}), NULL)){only}"
+    # fixed values: spec name -> SQL aggregate
+    sql = {"mean": "avg", "var": "var_samp", "std": "stddev_samp", "min": "min", "max": "max"}
+    if func not in sql:
+        raise ValueError(f"unknown aggregate function: {func}")
+    return f"{sql[func]}({x}){only}"
 
 
 def aggregate(
@@ -89,32 +94,30 @@ def aggregate(
     ``first``/``last`` follow ``order`` and also run apart, as they need sorting.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    rows = df.dropna(subset=keys)
+    booleans = {f.name for f in df.schema.fields if isinstance(f.dataType, BooleanType)}
+    rows = df.where(all_present(keys))
     plain, ordered, distinct = [], [], []
     for s in slices:
         for column, funcs in s.spec.items():
-            x = as_col(column)
-            if isinstance(types[column], BooleanType):
-                x = x.cast("int")
-            x = x if s.where is None else F.when(s.where, x)
+            x = f"cast({quoted(column)} AS int)" if column in booleans else quoted(column)
             for func in funcs:
                 name = s.name(column, func)
                 if func == "nunique":
                     distinct.append((name, x, s.where))
                 else:
                     target = ordered if func in ("first", "last") else plain
-                    target.append(_expression(func, x, s.where, order).alias(name))
-    parts = [rows.groupBy(*keys).agg(*exprs) for exprs in (plain, ordered) if exprs]
+                    target.append(f"{_text(func, x, s.where, order)} AS {quoted(name)}")
+    parts = [rows.groupBy(*keys).agg(*[F.expr(e) for e in exprs]) for exprs in (plain, ordered) if exprs]
     for name, x, where in distinct:
         # a NULL value keeps the key alive with count 0
-        seen = rows if where is None else rows.where(where)
-        pairs = seen.select(*keys, x.alias("__x")).distinct()
+        seen = rows.where(where) if where else rows
+        pairs = seen.select(*keys, F.expr(x).alias("__x")).distinct()
         parts.append(pairs.groupBy(*keys).agg(F.count("__x").alias(name)))
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, keys, "left")
-    return out.select(*keys, *[F.col(f"`{n}`") for s in slices for n in s.outputs()])
+    outputs = [n for s in slices for n in s.outputs()]
+    return out if len(parts) == 1 else out.select(*keys, *[quoted(n) for n in outputs])
 
 
 def aggregate_unfused(
@@ -124,7 +127,7 @@ def aggregate_unfused(
     keys = [keys] if isinstance(keys, str) else list(keys)
     out = None
     for s in slices:
-        rows = df if s.where is None else df.where(s.where)
+        rows = df.where(s.where) if s.where else df
         part = aggregate(rows, keys, [Slice(s.spec, s.prefix, None, s.names)], order)
         out = part if out is None else out.join(part, keys, "left")
     return out
@@ -135,16 +138,18 @@ def group_statistics(
 ) -> DataFrame:
     """Give every row statistics of its group: ``{output: (column, function)}``.
 
-    Functions: mean, std, sum, median.  The group table joins back to the rows, so
-    a hot group is split by the adaptive skew join; a window over the group would
-    hold it in one task.  Rows with a missing key get NULL.
+    Functions: mean, std, sum, median.  The group table joins back to the rows; a
+    window over the group would hold a hot group in one task.  Up to
+    ``SMALL_GROUPS`` groups (counted first, over the key columns alone) the table
+    is broadcast and the rows stay where they are; beyond that the join shuffles,
+    and the adaptive skew join splits hot groups.  Rows with a missing key get NULL.
     """
     keys = list(keys)
     plain = {n: (c, f) for n, (c, f) in stats.items() if f != "median"}
-    rows = df.dropna(subset=keys)
+    rows = df.where(all_present(keys))
     parts = []
     if plain:
-        exprs = [_expression(f, as_col(c), None, ()).alias(n) for n, (c, f) in plain.items()]
+        exprs = [F.expr(f"{_text(f, quoted(c), None, ())} AS {quoted(n)}") for n, (c, f) in plain.items()]
         parts.append(rows.groupBy(*keys).agg(*exprs))
     for name, (column, func) in stats.items():
         if func == "median":
@@ -152,6 +157,8 @@ def group_statistics(
     table = parts[0]
     for part in parts[1:]:
         table = table.join(part, keys, "left" if plain else "full")
+    if rows.select(*keys).distinct().limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS:
+        table = F.broadcast(table)
     out = df.join(table, keys, "left")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *stats)
 

@@ -27,8 +27,8 @@ def class_density(df: DataFrame, column: str, label: str, points: int = 100, rea
     Bandwidth by Scott's rule.  Every grid point is one sum in a single aggregate, so
     rows are neither multiplied nor collected.
     """
-    rows = df.select(as_col(label).alias(label), as_col(column).cast("double").alias("__x")).dropna()
-    rows = rows.where(F.col(label).isin(0, 1))
+    rows = df.select(as_col(label).alias(label), as_col(column).cast("double").alias("__x"))
+    rows = rows.where(F.col(label).isin(0, 1) & F.col("__x").isNotNull())
     x = F.col("__x")
     stats = rows.groupBy(label).agg(
         F.count(x).alias("__n"), F.stddev_samp(x).alias("__s"), F.min(x).alias("__lo"), F.max(x).alias("__hi")

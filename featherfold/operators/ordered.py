@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import as_col, stable_hash
+from ..functions.scalar import all_present, as_col, stable_hash
 from ..session import bin_count
 
 BIN = "__bin"
@@ -34,7 +34,7 @@ class Cuts:
         self.order = order
         self.split_by = list(split_by)
         probs = [i / self.bins for i in range(1, self.bins)]
-        sketch = F.percentile_approx(as_col(order).cast("double"), probs, max(10_000, 10 * self.bins))
+        sketch = F.percentile_approx(as_col(order).cast("double"), probs, max(200, 4 * self.bins))
         frame = df.groupBy(*self.split_by).agg(sketch.alias("__cuts"))
         self.schema = frame.schema
         self.rows = [r for r in frame.collect() if r["__cuts"] is not None]
@@ -43,11 +43,13 @@ class Cuts:
         # halving search: how many bounds are <= the value
         value = as_col(self.order).cast("double")
         halves = [self.bins >> i for i in range(1, self.bins.bit_length())]
-        return F.aggregate(
+        found = F.aggregate(
             F.lit(halves),
             F.lit(0),
             lambda at, step: F.when(F.element_at(bounds, at + step) <= value, at + step).otherwise(at),
         )
+        # never NULL: a join on the range then adds no null filter, and equal subplans stay equal
+        return F.coalesce(found, F.lit(0))
 
     def apply(self, df: DataFrame) -> DataFrame:
         if not self.rows:
@@ -66,13 +68,16 @@ def running_sums(
     sums: Mapping[str, Column],
     split_by: Sequence[str] = (),
     bins: int | None = None,
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in the order of ``order``.
 
     ``df`` must hold one row per (keys, order): pre-aggregate first.  Totals of
     the ranges (at most ``bins`` rows per key) give each range its start value.
+    ``bounds_from`` may name the rows before pre-aggregation, so that reading the
+    range bounds needs no shuffle.
     """
-    binned = Cuts(df, order, split_by, bins).apply(df)
+    binned = Cuts(df if bounds_from is None else bounds_from, order, split_by, bins).apply(df)
     group = [*keys, BIN]
     totals = binned.groupBy(*group).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
     before = Window.partitionBy(*keys).orderBy(BIN).rowsBetween(Window.unboundedPreceding, -1)
@@ -97,9 +102,10 @@ def exact_quantiles(
     """Linearly interpolated quantiles per key, one output column per entry of ``probs``.
 
     Equal values are counted first, counts are added up by value range, and only
-    the ranges that hold a wanted rank are sorted.  Keys with no value are absent.
+    the ranges that hold a wanted rank are sorted.  Keys with no value and missing
+    keys are absent.
     """
-    present = df.select(*keys, as_col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    present = df.select(*keys, as_col(value).cast("double").alias("__v")).where(all_present([*keys, "__v"]))
     cuts = Cuts(present, "__v", split_by, bins)  # off the raw rows: the sketch needs no shuffle
     counts = present.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     binned = cuts.apply(counts)
@@ -167,8 +173,7 @@ def number_rows(df: DataFrame, cols: Sequence[str], name: str, seed: int | str =
 
 def tag_groups(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
     """Give rows that agree on all ``cols`` one shared number; NULL where a column is missing."""
-    known = reduce(lambda a, b: a & b, [as_col(c).isNotNull() for c in cols])
-    numbered = number_rows(df.where(known).select(*cols).distinct(), cols, name)
+    numbered = number_rows(df.where(all_present(cols)).select(*cols).distinct(), cols, name)
     return df.join(numbered, list(cols), "left")
 
 

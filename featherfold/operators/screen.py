@@ -83,7 +83,7 @@ def distance_correlations(df: DataFrame, columns: Sequence[str], label: str) ->
     )
     x = F.col("value")
     sums = {"r0": F.col("c0"), "r1": F.col("c1"), "p0": F.col("c0") * x, "p1": F.col("c1") * x}
-    ordered = running_sums(counts, ["column"], "value", sums, split_by=["column"])
+    ordered = running_sums(counts, ["column"], "value", sums, split_by=["column"], bounds_from=long)
     totals = counts.groupBy("column").agg(
         F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.sum(F.col("c0") * x).alias("s0"), F.sum(F.col("c1") * x).alias("s1"),
         F.sum((F.col("c0") + F.col("c1")) * x * x).alias("xx"),
@@ -123,7 +123,7 @@ def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     for i, c in enumerate(columns):
         x = as_col(c).cast("double")
         exprs += [F.count(x).alias(f"{i}_n"), F.avg(x).alias(f"{i}_m"), (F.var_pop(x) * F.count(x)).alias(f"{i}_q")]
-    per_class = to_long(df.dropna(subset=[label]).groupBy(label).agg(*exprs), columns, ["n", "m", "q"], "feature")
+    per_class = to_long(df.where(as_col(label).isNotNull()).groupBy(label).agg(*exprs), columns, ["n", "m", "q"], "feature")
     per_class = per_class.where(F.col("n") > 0)
     # one row per class and column from here on
     w = Window.partitionBy("feature")

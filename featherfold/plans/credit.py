@@ -106,14 +106,14 @@ def bureau_columns(
 def bureau_slices(share_columns: Sequence[str], months: Sequence[int] = (6, 12)) -> list[Slice]:
     out = [
         Slice(merge_specs(X.BUREAU_SPEC, shares(share_columns), shares(["STATUS_C"])), "BURO_"),
-        Slice(X.BUREAU_ACTIVE_SPEC, "BURO_ACTIVE_", F.col("CREDIT_ACTIVE_Active") == 1),
-        Slice(X.BUREAU_CLOSED_SPEC, "BURO_CLOSED_", F.col("CREDIT_ACTIVE_Closed") == 1),
+        Slice(X.BUREAU_ACTIVE_SPEC, "BURO_ACTIVE_", "CREDIT_ACTIVE_Active = 1"),
+        Slice(X.BUREAU_CLOSED_SPEC, "BURO_CLOSED_", "CREDIT_ACTIVE_Closed = 1"),
     ]
     for kind in X.LOAN_TYPES:
         prefix = f"BUREAU_{kind.split(' ')[0].upper()}_"
-        out.append(Slice(X.BUREAU_TYPE_SPEC, prefix, F.col(f"`CREDIT_TYPE_{kind}`") == 1))
+        out.append(Slice(X.BUREAU_TYPE_SPEC, prefix, f"`CREDIT_TYPE_{kind}` = 1"))
     for m in months:
-        out.append(Slice(X.BUREAU_RECENT_SPEC, f"BURO_LAST{m}M_", F.col("DAYS_CREDIT") >= -DAYS_PER_MONTH * m))
+        out.append(Slice(X.BUREAU_RECENT_SPEC, f"BURO_LAST{m}M_", f"DAYS_CREDIT >= {-DAYS_PER_MONTH * m}"))
     return out
 
 
@@ -128,7 +128,7 @@ def bureau_features(
     df = bureau_columns(bureau, balance, balance_shares, fanout)
     slices = bureau_slices(list(_share_spec(df, share_columns)))
     base = aggregate(df, CUSTOMER, slices)
-    recent = df.dropna(subset=[CUSTOMER]).groupBy(CUSTOMER).agg(
+    recent = df.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER).agg(
         last_value("AMT_CREDIT_MAX_OVERDUE", ["DAYS_CREDIT"]).alias("BURO_LAST_LOAN_MAX_OVERDUE")
     )
     return add_ratios(base.join(recent, CUSTOMER, "left"), X.BUREAU_TOTAL_RATIOS)
@@ -147,11 +147,11 @@ def previous_columns(prev: DataFrame) -> DataFrame:
 def previous_slices(share_columns: Sequence[str], months: Sequence[int] = (6, 12)) -> list[Slice]:
     out = [
         Slice(merge_specs(X.PREVIOUS_SPEC, shares(share_columns)), "PREV_"),
-        Slice(X.PREVIOUS_SPEC, "APPROVED_", F.col("NAME_CONTRACT_STATUS_Approved") == 1),
-        Slice(X.PREVIOUS_SPEC, "REFUSED_", F.col("NAME_CONTRACT_STATUS_Refused") == 1),
+        Slice(X.PREVIOUS_SPEC, "APPROVED_", "NAME_CONTRACT_STATUS_Approved = 1"),
+        Slice(X.PREVIOUS_SPEC, "REFUSED_", "NAME_CONTRACT_STATUS_Refused = 1"),
     ]
     for m in months:
-        out.append(Slice(X.PREVIOUS_RECENT_SPEC, f"PREV_LAST{m}M_", F.col("DAYS_DECISION") >= -DAYS_PER_MONTH * m))
+        out.append(Slice(X.PREVIOUS_RECENT_SPEC, f"PREV_LAST{m}M_", f"DAYS_DECISION >= {-DAYS_PER_MONTH * m}"))
     return out
 
 
@@ -193,7 +193,7 @@ def instalment_columns(inst: DataFrame, late_from: str = "DBD") -> DataFrame:
 def instalment_slices(share_columns: Sequence[str], months: Sequence[int] = (36, 60)) -> list[Slice]:
     out = [Slice(merge_specs(X.INSTALMENT_SPEC, shares(share_columns)), "INSTAL_")]
     for m in months:
-        out.append(Slice(X.INSTALMENT_RECENT_SPEC, f"INS_{m}M_", F.col("__seen") >= -DAYS_PER_MONTH * m))
+        out.append(Slice(X.INSTALMENT_RECENT_SPEC, f"INS_{m}M_", f"__seen >= {-DAYS_PER_MONTH * m}"))
     return out
 
 
@@ -230,7 +230,7 @@ def cash_per_loan(df: DataFrame) -> DataFrame:
     done = F.avg("NAME_CONTRACT_STATUS_Completed")
     first, last = first_value("CNT_INSTALMENT", month), last_value("CNT_INSTALMENT", month)
     left = last_value("CNT_INSTALMENT_FUTURE", month)
-    return df.dropna(subset=[LOAN]).groupBy(LOAN).agg(
+    return df.where(F.col(LOAN).isNotNull()).groupBy(LOAN).agg(
         first_value(CUSTOMER, month).alias(CUSTOMER),
         F.max("MONTHS_BALANCE").alias("MONTHS_BALANCE_MAX"),
         done.alias("POS_LOAN_COMPLETED_MEAN"),
@@ -304,7 +304,7 @@ def card_slices(
         )
     ]
     for m in months:
-        out.append(Slice(X.CARD_RECENT_SPEC, f"{prefix}{m}M_", F.col("__seen") >= -month_factor * m))
+        out.append(Slice(X.CARD_RECENT_SPEC, f"{prefix}{m}M_", f"__seen >= {-month_factor * m}"))
     return out
 
 
@@ -324,7 +324,7 @@ def card_features(
     extra = list(_share_spec(df, share_columns))
     seen = keep_loans_seen_since(df, LOAN, "MONTHS_BALANCE", "__seen")
     base = aggregate(seen, CUSTOMER, card_slices(extra, prefix=window_prefix, month_factor=month_factor))
-    last = latest_row(df.dropna(subset=[LOAN]), [LOAN], "MONTHS_BALANCE", ties)
+    last = latest_row(df.where(F.col(LOAN).isNotNull()), [LOAN], "MONTHS_BALANCE", ties)
     last = aggregate(last, CUSTOMER, [Slice(X.CARD_LAST_SPEC, "CC_LAST_")])
     return base.join(last, CUSTOMER, "left")
 

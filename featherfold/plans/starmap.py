@@ -7,6 +7,7 @@ Spark SQL and in other ANSI engines; ``days`` is the only dialect-bound function
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -221,11 +222,14 @@ def select_text(table: str, dialect: str) -> str:
     return f"SELECT {', '.join(items)} FROM {source}"
 
 
+def base_tables_of(table: str) -> list[str]:
+    """The star-schema tables one credit table is read from."""
+    return re.findall(r"{(\w+)}", _TABLES[table][1])
+
+
 def credit_table(spark: SparkSession, table: str, base: Mapping[str, DataFrame]) -> DataFrame:
     """One credit table over the star-schema frames in ``base``."""
-    text = select_text(table, "spark")
-    used = {n: df for n, df in base.items() if "{" + n + "}" in text}
-    return spark.sql(text, **used)
+    return spark.sql(select_text(table, "spark"), **{n: base[n] for n in base_tables_of(table)})
 
 
 def credit_tables(spark: SparkSession, base: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
