@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -12,6 +12,9 @@ from ..functions.scalar import as_col
 from .ordered import exact_quantiles
 
 
+COLUMNS_PER_PASS = 150
+
+
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in skip]
 
@@ -46,20 +49,27 @@ def mostly_null_columns(df: DataFrame, limit: float, keep: Sequence[str] = ()) -
     return [r["column"] for r in ratios.where(F.col("null_ratio") > limit).collect()]
 
 
-def _ends(df: DataFrame, columns: Sequence[str]) -> Row:
-    """Smallest and largest value and null count of every column, plus the row count: one pass."""
-    total = F.count(F.lit(1))
-    exprs = [total.alias("rows")]
-    for i, c in enumerate(columns):
-        exprs += [
-            F.min(as_col(c)).alias(f"{i}_lo"),
-            F.max(as_col(c)).alias(f"{i}_hi"),
-            (total - F.count(as_col(c))).alias(f"{i}_nulls"),
-        ]
-    return df.agg(*exprs).collect()[0]
-
+def _ends(df: DataFrame, columns: Sequence[str]) -> dict:
+    """Row count, and smallest and largest value and null count of every column.
 
-def _is_single(row: Row, i: int) -> bool:
+    Very wide frames are read in groups of columns: a columnar scan then reads each
+    column once all the same, and the generated code stays small.
+    """
+    out: dict = {"rows": 0}
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        total = F.count(F.lit(1))
+        exprs = [total.alias("rows")]
+        for i, c in enumerate(columns[start:start + COLUMNS_PER_PASS], start):
+            exprs += [
+                F.min(as_col(c)).alias(f"{i}_lo"),
+                F.max(as_col(c)).alias(f"{i}_hi"),
+                (total - F.count(as_col(c))).alias(f"{i}_nulls"),
+            ]
+        out |= df.agg(*exprs).collect()[0].asDict()
+    return out
+
+
+def _is_single(row: dict, i: int) -> bool:
     lo, hi, nulls = row[f"{i}_lo"], row[f"{i}_hi"], row[f"{i}_nulls"]
     return lo is None or (lo == hi and nulls == 0)
 

@@ -11,15 +11,14 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import as_col
+from ..functions.scalar import as_col, nan_to_null
 from ..models.metrics import auc, auc_value
 from ..models.training import assemble, positive_score, random_forest
 from .combine import minus_names, union_names
 from .ordered import number_rows, running_sums
 from .profile import melt, to_long
 
-PAIRS_PER_PASS = 200
-WIDE = 100
+PAIRS_PER_PASS = 500
 
 
 def label_correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
@@ -30,30 +29,40 @@ def label_correlations(df: DataFrame, columns: Sequence[str], label: str) -> Dat
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every pair of columns, a before b.
+    """(a, b, r) for every pair of columns, a before b; a pair skips rows where one of the two is missing.
 
-    Up to 100 columns each pair skips its own missing values.  Wider frames use one
-    pass of the library's correlation matrix with missing values set to 0.
+    Few pairs are one aggregate.  For many, columns without gaps go through the
+    library's correlation matrix in one pass over the data, and only pairs that
+    touch a column with gaps are aggregated one by one.
     """
     columns = list(columns)
-    spark = df.sparkSession
-    if len(columns) > WIDE:
-        matrix = Correlation.corr(assemble(df.select(*columns), columns), "features").collect()[0][0].toArray()
-        rows = [(a, columns[j], float(matrix[i, j])) for i, a in enumerate(columns) for j in range(i + 1, len(columns))]
-        return spark.createDataFrame(rows, "a string, b string, r double")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        row = df.agg(
-            *[F.corr(as_col(a).cast("double"), as_col(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(chunk)]
-        )
-        items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(str(i)).alias("r")) for i, (a, b) in enumerate(chunk)]
-        part = row.select(F.inline(F.array(*items)))
+    if len(pairs) <= PAIRS_PER_PASS:
+        return _pairs_by_aggregate(df, pairs)
+    gaps = df.agg(*[F.count_if(as_col(c).isNull()).alias(str(i)) for i, c in enumerate(columns)]).collect()[0]
+    full = [c for i, c in enumerate(columns) if not gaps[str(i)]]
+    spark, place, out = df.sparkSession, {c: i for i, c in enumerate(full)}, None
+    if len(full) > 1:
+        vectors = assemble(df.select(*[as_col(c) for c in full]), full).select("features")
+        matrix = Correlation.corr(vectors, "features").collect()[0][0].toArray()
+        rows = [(a, b, float(matrix[place[a], place[b]])) for a, b in pairs if a in place and b in place]
+        table = spark.createDataFrame(rows, "a string, b string, r double")
+        out = table.withColumn("r", nan_to_null("r"))
+    rest = [(a, b) for a, b in pairs if a not in place or b not in place]
+    for start in range(0, len(rest), PAIRS_PER_PASS):
+        part = _pairs_by_aggregate(df, rest[start:start + PAIRS_PER_PASS])
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _pairs_by_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    row = df.agg(
+        *[F.corr(as_col(a).cast("double"), as_col(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(pairs)]
+    )
+    items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(str(i)).alias("r")) for i, (a, b) in enumerate(pairs)]
+    return row.select(F.inline(F.array(*items)))
+
+
 def correlated_columns(df: DataFrame, columns: Sequence[str], limit: float = 0.97, absolute: bool = False) -> list[str]:
     """Columns to drop so that no kept pair correlates above ``limit``; the earlier column stays."""
     columns = list(columns)

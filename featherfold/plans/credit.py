@@ -22,6 +22,8 @@ from ..operators.clean import columns_like, sentinels_to_null
 from ..operators.combine import attach, with_borrowed_columns
 from ..operators.ordered import first_rows, first_value, last_value, latest_row
 from ..operators.profile import two_value_columns, useless_columns
+from ..session import shared_dir
+from ..sources.files import write_parquet
 from . import fixed as X
 
 CUSTOMER, LOAN, BUREAU_LOAN, LABEL = "SK_ID_CURR", "SK_ID_PREV", "SK_ID_BUREAU", "TARGET"
@@ -365,14 +367,18 @@ def build_features(
 ) -> tuple[DataFrame, DataFrame]:
     """Wide train and test frames: parent columns, all children, cross-table ratios.
 
-    Group statistics are worked out within each split.  The list of useless columns
-    comes from one profiling pass over the train frame and is applied to both.
+    Group statistics are worked out within each split.  To find useless columns the
+    wide frames are written to shared storage once and profiled there, column group
+    by column group; the joins do not run again for the profile or the result.
     """
     parts = list(child_features(tables, shares_of, card_ties).values())
     wide = [attach(application_features(df, raw), parts, CUSTOMER) for df in (train, test)]
     if drop_useless:
+        spark = train.sparkSession
+        for i, name in enumerate(("train", "test")):
+            path = shared_dir(spark, f"wide-{name}")
+            write_parquet(wide[i], path)
+            wide[i] = spark.read.parquet(path)
         gone = useless_columns(wide[0], keep=(CUSTOMER, LABEL))
         wide = [df.drop(*gone) for df in wide]
     return cross_table_ratios(wide[0]), cross_table_ratios(wide[1])
-
-
