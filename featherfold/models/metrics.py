@@ -53,6 +53,8 @@ def fold_metrics(valid: DataFrame, train: DataFrame, score: str, label: str, fol
     v = auc(valid, score, label, [fold], "valid")
     t = auc(train, score, label, [fold], "train")
     per_fold = t.join(v, fold, "full").select(F.col(fold).cast("string").alias("fold"), "train", "valid")
-    whole = auc(valid, score, label, (), "valid").withColumn("fold", F.lit("overall"))
-    mean = t.agg(F.avg("train").alias("train")).withColumn("fold", F.lit("overall"))
-    return per_fold.unionByName(mean.join(whole, "fold").select("fold", "train", "valid"))
+    none = F.lit(None).cast("double")
+    whole = auc(valid, score, label, (), "valid").select(none.alias("train"), "valid")
+    mean = t.agg(F.avg("train").alias("train")).select("train", none.alias("valid"))
+    overall = whole.unionByName(mean).agg(F.max("train").alias("train"), F.max("valid").alias("valid"))
+    return per_fold.unionByName(overall.select(F.lit("overall").alias("fold"), "train", "valid"))

@@ -23,7 +23,8 @@ from ..functions.scalar import all_present, as_col, ratio
 from .ordered import exact_quantiles
 
 Spec = Mapping[str, Sequence[str]]
-SMALL_GROUPS = 100_000  # rows of a group table that may be broadcast: some ten megabytes
+SMALL_GROUPS = 100_000  # rows of a group table that may be broadcast
+SMALL_KEY_BYTES = 8 << 20  # and the bytes its keys may have
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,14 @@ def aggregate_unfused(
     return out
 
 
+def _few_groups(rows: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the table of distinct keys is small; reads the key columns alone."""
+    size = F.octet_length(F.concat_ws("", *[as_col(k).cast("string") for k in keys]))
+    groups = rows.select(*keys).distinct().limit(SMALL_GROUPS + 1)
+    n, total = groups.agg(F.count(F.lit(1)), F.sum(size)).collect()[0]
+    return n <= SMALL_GROUPS and (total or 0) <= SMALL_KEY_BYTES
+
+
 def group_statistics(
     df: DataFrame, keys: Sequence[str], stats: Mapping[str, tuple[str, str]]
 ) -> DataFrame:
@@ -140,7 +149,7 @@ def group_statistics(
 
     Functions: mean, std, sum, median.  The group table joins back to the rows; a
     window over the group would hold a hot group in one task.  Up to
-    ``SMALL_GROUPS`` groups (counted first, over the key columns alone) the table
+    ``SMALL_GROUPS`` groups (counted first, with the size of their keys) the table
     is broadcast and the rows stay where they are; beyond that the join shuffles,
     and the adaptive skew join splits hot groups.  Rows with a missing key get NULL.
     """
@@ -157,7 +166,7 @@ def group_statistics(
     table = parts[0]
     for part in parts[1:]:
         table = table.join(part, keys, "left" if plain else "full")
-    if rows.select(*keys).distinct().limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS:
+    if _few_groups(rows, keys):
         table = F.broadcast(table)
     out = df.join(table, keys, "left")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *stats)

@@ -12,13 +12,17 @@ from .ordered import exact_quantiles
 def class_medians(df: DataFrame, column: str, label: str) -> DataFrame:
     """One row: correlation with the label and the median of each class."""
     med = exact_quantiles(df.where(as_col(label).isNotNull()), [label], column, {"m": 0.5})
-    row = med.agg(
-        F.max(F.when(F.col(label) == 0, F.col("m"))).alias("median_0"),
-        F.max(F.when(F.col(label) == 1, F.col("m"))).alias("median_1"),
-    )
+    missing = F.lit(None).cast("double")
     corr = df.agg(F.corr(as_col(column).cast("double"), as_col(label).cast("double")).alias("corr"))
-    # both sides are single-row aggregates, tied by a constant key
-    return corr.withColumn("__k", F.lit(1)).join(row.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    # one row and one row per class: stacked, then folded into a single row
+    stacked = corr.select(F.lit(None).cast("int").alias("y"), "corr", missing.alias("m")).unionByName(
+        med.select(as_col(label).cast("int").alias("y"), missing.alias("corr"), "m")
+    )
+    return stacked.agg(
+        F.max("corr").alias("corr"),
+        F.max(F.when(F.col("y") == 0, F.col("m"))).alias("median_0"),
+        F.max(F.when(F.col("y") == 1, F.col("m"))).alias("median_1"),
+    )
 
 
 def class_density(df: DataFrame, column: str, label: str, points: int = 100, reach: float = 3.0) -> DataFrame:

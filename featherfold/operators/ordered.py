@@ -17,7 +17,7 @@ from ..functions.scalar import all_present, as_col, stable_hash
 from ..session import bin_count
 
 BIN = "__bin"
-HASH_DIGITS = 3  # leading hex digits that cut a hash order into 4096 even ranges
+HASH_DIGITS = 4  # leading hex digits that cut a hash order into 65536 even ranges
 
 
 class Cuts:
@@ -151,7 +151,7 @@ def exact_quantiles(
 def number_rows(df: DataFrame, cols: Sequence[str], name: str, seed: int | str = 0) -> DataFrame:
     """Gapless numbers from 1 in the order of a seeded hash of ``cols`` (a fixed shuffle).
 
-    The leading hash digits cut the rows into even ranges; at most 4096 counts
+    The leading hash digits cut the rows into even ranges; at most 65536 counts
     are added up to give each range its first number.
     """
     hashed = df.withColumn("__h", stable_hash(cols, seed))
