@@ -289,7 +289,7 @@ def _bureau_sql(name: str, fanout: bool = False) -> str:
         ("BURO_ACTIVE_", X.BUREAU_ACTIVE_SPEC, '"CREDIT_ACTIVE_Active" = 1'),
         ("BURO_CLOSED_", X.BUREAU_CLOSED_SPEC, '"CREDIT_ACTIVE_Closed" = 1'),
     ]
-    slices += [(f"BUREAU_{k.split(' ')[0].upper()}_", X.BUREAU_TYPE_SPEC, f"\"CREDIT_TYPE_{k}\" = 1") for k in X.LOAN_TYPES]
+    slices += [(p, X.BUREAU_TYPE_SPEC, f"\"CREDIT_TYPE_{k}\" = 1") for k, p in X.LOAN_TYPES.items()]
     slices += [(f"BURO_LAST{m}M_", X.BUREAU_RECENT_SPEC, f"\"DAYS_CREDIT\" >= {-30 * m}") for m in (6, 12)]
     last = agg_sql("last", q("AMT_CREDIT_MAX_OVERDUE"), ["DAYS_CREDIT"])
     totals = ", ".join(f"{ratio_sql(q(a), q(b))} AS {q(n)}" for n, (a, b) in X.BUREAU_TOTAL_RATIOS.items())
@@ -410,7 +410,7 @@ def g_card(spark, d):
     return card_features(credit(spark, d, "credit"), SHARE_COLUMNS["credit"], ties=CARD_TIES)
 
 
-def _application_sql(name: str, source: str = "application") -> str:
+def _application_sql(name: str, source: str = "application", split: str = "") -> str:
     pay = ratio_sql('"AMT_CREDIT"', '"AMT_ANNUITY"')
     ext = [q(c) for c in X.EXT_SOURCES]
     docs, live = X.DOCUMENT_FLAGS, ["FLAG_OWN_CAR", "FLAG_EMAIL", "FLAG_PHONE"]
@@ -438,7 +438,7 @@ def _application_sql(name: str, source: str = "application") -> str:
         groups.append(f"CASE WHEN \"OCCUPATION_TYPE\" IS NOT NULL THEN {call} OVER w END AS {q(n_)}")
     return (
         f"a0 AS (SELECT *, {mu} AS mu FROM {source}), {cols}, {name} AS (SELECT * EXCLUDE (mu), {', '.join(groups)} "
-        f"FROM a1 WINDOW w AS (PARTITION BY {names_sql(X.GROUP_KEYS)}))"
+        f"FROM a1 WINDOW w AS (PARTITION BY {split}{names_sql(X.GROUP_KEYS)}))"
     )
 
 
@@ -458,7 +458,7 @@ def _wide_sql(source: str = "application") -> str:
     ctes += [build(f"out_{n}") for n, build in _BUILDERS.items()]
     if source != "application":
         ctes.append(source)
-        ctes.append(_application_sql("out_app", source.split(" ")[0]))
+        ctes.append(_application_sql("out_app", source.split(" ")[0], "in_train, "))
     else:
         ctes.append(_application_sql("out_app"))
     joins = " ".join(f"LEFT JOIN out_{n} ON out_app.\"SK_ID_CURR\" = out_{n}.\"SK_ID_CURR\"" for n in _PARTS)
@@ -475,17 +475,21 @@ def e4(spark, d):
     return cross_table_ratios(attach(application_features(tables["application"]), list(parts.values()), CUSTOMER))
 
 
-_TRAIN = f"train_rows AS (SELECT * FROM application WHERE {bucket_sql(q('SK_ID_CURR'), 1000, 666)} < 750)"
+_SPLITS = f"split_rows AS (SELECT *, {bucket_sql(q('SK_ID_CURR'), 1000, 666)} < 750 AS in_train FROM application)"
 
 
-@query("e4_train_split_build", _wide_sql(_TRAIN))
+@query("e4_split_build", _wide_sql(_SPLITS))
 def e4b(spark, d):
-    """The train side of the build: group statistics come from the train rows alone."""
+    """Train and test built together: group statistics stay within each split."""
     from ..models.training import hold_out
 
     tables = credit_tables(spark, base(spark, d))
     train, test = hold_out(tables["application"], CUSTOMER, 0.75)
-    return build_features(train, test, tables, shares_of=SHARE_COLUMNS, drop_useless=False, card_ties=CARD_TIES)[0]
+    a, b = build_features(
+        train.withColumn("in_train", F.lit(True)), test.withColumn("in_train", F.lit(False)), tables,
+        shares_of=SHARE_COLUMNS, drop_useless=False, card_ties=CARD_TIES,
+    )
+    return a.unionByName(b)
 
 
 # --- entities and relationships ------------------------------------------------------

@@ -148,11 +148,11 @@ def m11b(spark, d):
     "m12_neighbour_share",
     f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN label < 3 THEN 1 ELSE 0 END AS y, {bucket_sql('vec_id', 5, 50)} AS fold FROM embeddings),
     p AS (SELECT a.vec_id, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rn
-    FROM e a JOIN e b ON a.fold = 0 AND b.fold <> 0) SELECT vec_id, avg(y) AS score FROM p WHERE rn <= 10 GROUP BY vec_id""",
+    FROM e a JOIN e b ON a.fold <> b.fold) SELECT vec_id, avg(y) AS score FROM p WHERE rn <= 10 GROUP BY vec_id""",
 )
 def m12(spark, d):
     e = with_fold(table(spark, d, "embeddings"), "vec_id", 5).withColumn("y", F.when(F.col("label") < 3, 1).otherwise(0))
-    return neighbour_share(e.where("fold <> 0"), e.where("fold = 0"), "vec_id", "embedding", "y", 10)
+    return neighbour_share(e, e, "vec_id", "embedding", "y", 10, not_same="fold")
 
 
 _BLEND = " + ".join(f"{w!r} * \"{m}\"" for m, w in BLEND_WEIGHTS.items())

@@ -180,12 +180,12 @@ def a11(spark, d):
 @query(
     "a12_drop_useless_columns",
     f"WITH {credit_sql('application')} SELECT {names_sql(columns_of('application'))}, "
-    f"CASE WHEN \"SK_ID_CURR\" % 2 = 0 THEN 1 END AS \"HALF\" FROM application "
-    f"WHERE {bucket_sql(q('SK_ID_CURR'), 1000, 666)} >= 750",
+    f"CASE WHEN \"SK_ID_CURR\" % 2 = 0 THEN 1 END AS \"HALF\" FROM application",
 )
 def a12(spark, d):
     train, test = hold_out(_with_constants(credit(spark, d, "application")), "SK_ID_CURR", 0.75)
-    return test.drop(*useless_columns(train, keep=("SK_ID_CURR", "TARGET")))
+    gone = useless_columns(train, keep=("SK_ID_CURR", "TARGET"))
+    return train.drop(*gone).unionByName(test.drop(*gone))
 
 
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

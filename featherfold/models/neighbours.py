@@ -23,11 +23,17 @@ BLOCK_ROWS = 20_000
 
 def nearest(
     train: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, pivots: int = 64,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, not_same: str | None = None,
 ) -> DataFrame:
-    """(query, neighbour, distance): the k nearest train rows of each query by Euclid; ties by id."""
-    base = train.select(F.col(key).cast("long").alias("nid"), F.col(vector).cast("array<double>").alias("vec"))
-    asked = queries.select(F.col(key).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("vec"))
+    """(query, neighbour, distance): the k nearest train rows of each query by Euclid; ties by id.
+
+    ``not_same`` names a small-integer column such as a fold: rows that agree on it
+    are no neighbours, so one run scores every row from the other folds.
+    """
+    vec = F.col(vector).cast("array<double>").alias("vec")
+    own = F.col(not_same).cast("int") if not_same else None
+    base = train.select(F.col(key).cast("long").alias("nid"), vec, (F.lit(0) if own is None else own).alias("grp"))
+    asked = queries.select(F.col(key).cast("long").alias("qid"), vec, (F.lit(-1) if own is None else own).alias("grp"))
     picked = base.orderBy(stable_hash(["nid"], "pivot"), "nid").limit(pivots).collect()  # a fixed number of rows
     if not picked:
         return train.sparkSession.createDataFrame([], "query bigint, neighbour bigint, distance double")
@@ -42,12 +48,19 @@ def nearest(
                 b["reach"] = d.min(axis=1)
                 yield b
 
-    cells = base.mapInPandas(to_cells, "nid long, vec array<double>, cell int, reach double")
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()
-    ids = np.array([s["cell"] for s in stats])
-    sizes = np.array([s["n"] for s in stats])
-    radii = np.array([s["r"] for s in stats])
-    blocks = {int(s["cell"]): max(1, -(-int(s["n"]) // block_rows)) for s in stats}
+    cells = base.mapInPandas(to_cells, "nid long, vec array<double>, grp int, cell int, reach double")
+    # pivots x groups rows at most
+    stats = cells.groupBy("cell", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()
+    ids = np.array(sorted({s["cell"] for s in stats}))
+    place = {int(c): i for i, c in enumerate(ids)}
+    sizes, radii = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
+    of_group: dict[int, np.ndarray] = {}
+    for s in stats:
+        i = place[s["cell"]]
+        sizes[i] += s["n"]
+        radii[i] = max(radii[i], s["r"])
+        of_group.setdefault(s["grp"], np.zeros(len(ids), dtype=np.int64))[i] += s["n"]
+    blocks = {int(c): max(1, -(-int(sizes[i]) // block_rows)) for c, i in place.items()}
 
     def to_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -57,15 +70,19 @@ def nearest(
             d = np.stack([np.sqrt(((x - centres[c]) ** 2).sum(axis=1)) for c in ids], axis=1)
             far = d + radii
             order = np.argsort(far, axis=1)
-            enough = (np.cumsum(sizes[order], axis=1) < k).sum(axis=1).clip(max=len(ids) - 1)
+            none = np.zeros(len(ids), dtype=np.int64)
+            usable = sizes - np.stack([of_group.get(int(g), none) for g in b["grp"]])
+            held = np.cumsum(np.take_along_axis(usable, order, axis=1), axis=1)
+            enough = (held < k).sum(axis=1).clip(max=len(ids) - 1)
             bound = np.take_along_axis(far, order, axis=1)[np.arange(len(x)), enough]
             keep = d - radii <= bound[:, None] * (1 + 1e-9) + 1e-9
             row, col = np.nonzero(keep)
             yield pd.DataFrame(
-                {"qid": b["qid"].to_numpy()[row], "vec": b["vec"].to_numpy()[row], "cell": ids[col].astype("int32")}
+                {"qid": b["qid"].to_numpy()[row], "vec": b["vec"].to_numpy()[row], "grp": b["grp"].to_numpy()[row],
+                 "cell": ids[col].astype("int32")}
             )
 
-    wanted = asked.mapInPandas(to_candidates, "qid long, vec array<double>, cell int")
+    wanted = asked.mapInPandas(to_candidates, "qid long, vec array<double>, grp int, cell int")
     asks = {int(r["cell"]): max(1, -(-int(r["n"]) // block_rows))
             for r in wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -84,10 +101,13 @@ def nearest(
     def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query": [], "neighbour": [], "distance": []}
         if len(x) and len(q):
-            data, nid = np.vstack(x["vec"].to_numpy()), x["nid"].to_numpy()
-            for qid, v in zip(q["qid"], q["vec"]):
+            data, nid, group = np.vstack(x["vec"].to_numpy()), x["nid"].to_numpy(), x["grp"].to_numpy()
+            for qid, v, g in zip(q["qid"], q["vec"], q["grp"]):
                 d = np.sqrt(((data - np.asarray(v)) ** 2).sum(axis=1))
-                best = np.lexsort((nid, d))[:k]
+                near = np.nonzero(group != g)[0]
+                if len(near) > k:
+                    near = near[d[near] <= np.partition(d[near], k - 1)[k - 1]]
+                best = near[np.lexsort((nid[near], d[near]))][:k]
                 out["query"].extend([qid] * len(best))
                 out["neighbour"].extend(nid[best])
                 out["distance"].extend(d[best])
@@ -100,10 +120,11 @@ def nearest(
 
 
 def neighbour_share(
-    train: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int = 10, name: str = "score"
+    train: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int = 10, name: str = "score",
+    not_same: str | None = None,
 ) -> DataFrame:
     """(key, score): share of positive labels among the k nearest train rows."""
-    found = nearest(train, queries, key, vector, k)
+    found = nearest(train, queries, key, vector, k, not_same=not_same)
     labels = train.select(F.col(key).cast("long").alias("neighbour"), F.col(label).cast("double").alias("__y"))
     joined = found.join(labels, "neighbour", "inner")
     return joined.groupBy(F.col("query").alias(key)).agg(F.avg("__y").alias(name))

@@ -111,8 +111,7 @@ def bureau_slices(share_columns: Sequence[str], months: Sequence[int] = (6, 12))
         Slice(X.BUREAU_ACTIVE_SPEC, "BURO_ACTIVE_", "CREDIT_ACTIVE_Active = 1"),
         Slice(X.BUREAU_CLOSED_SPEC, "BURO_CLOSED_", "CREDIT_ACTIVE_Closed = 1"),
     ]
-    for kind in X.LOAN_TYPES:
-        prefix = f"BUREAU_{kind.split(' ')[0].upper()}_"
+    for kind, prefix in X.LOAN_TYPES.items():
         out.append(Slice(X.BUREAU_TYPE_SPEC, prefix, f"`CREDIT_TYPE_{kind}` = 1"))
     for m in months:
         out.append(Slice(X.BUREAU_RECENT_SPEC, f"BURO_LAST{m}M_", f"DAYS_CREDIT >= {-DAYS_PER_MONTH * m}"))
@@ -281,7 +280,7 @@ def cash_features(
 
 
 def relative_name(column: str) -> str:
-    return "RELATIVE" + column[column.find("_"):]
+    return column.replace("CNT_", "RELATIVE_", 1)
 
 
 def card_columns(card: DataFrame) -> DataFrame:

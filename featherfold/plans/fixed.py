@@ -77,7 +77,13 @@ CROSS_TABLE_RATIOS = {
 
 # fixed values
 STATUS_SUM = [f"STATUS_{i}" for i in range(1, 6)]
-LOAN_TYPES = ["Consumer credit", "Credit card", "Mortgage", "Car loan", "Microloan"]
+LOAN_TYPES = {
+    "Consumer credit": "BUREAU_CONSUMER_",
+    "Credit card": "BUREAU_CREDIT_",
+    "Mortgage": "BUREAU_MORTGAGE_",
+    "Car loan": "BUREAU_CAR_",
+    "Microloan": "BUREAU_MICROLOAN_",
+}
 
 # fixed values: spec of the monthly balance per loan
 BALANCE_SPEC = {"MONTHS_BALANCE": ["min", "max", "mean", "size"]}

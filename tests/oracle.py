@@ -55,8 +55,10 @@ def compare(df, con, sql: str) -> str | None:
     if sorted(names) != cols:
         return f"columns differ: spark-only {set(cols) - set(names)}, sql-only {set(names) - set(cols)}"
     types = {d[0]: str(d[1]) for d in want.description}
-    rows_b = [tuple(_norm(r[names.index(c)]) for c in cols) for r in want.fetchall()]
-    rows_a = [tuple(_norm(r[c]) for c in cols) for r in df.collect()]
+    place = [names.index(c) for c in cols]
+    rows_b = [tuple(_norm(r[i]) for i in place) for r in want.fetchall()]
+    at = [df.columns.index(c) for c in cols]
+    rows_a = [tuple(_norm(r[i]) for i in at) for r in df.collect()]
     if len(rows_a) != len(rows_b):
         return f"rows: spark {len(rows_a)} sql {len(rows_b)}"
     rows_a.sort(key=_key)

@@ -164,3 +164,15 @@ def test_nearest_equals_brute_force(spark, block):
     for i in range(0, len(x), 3):
         d = [(float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in train]
         assert sorted(got.loc[got["query"] == i, "neighbour"]) == sorted(j for _, j in sorted(d)[:5])
+
+
+def test_nearest_from_other_folds_only(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 3))
+    x[40:90] = x[40]
+    frame = with_fold(spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>"), "id", 3)
+    fold = {r["id"]: r["fold"] for r in frame.collect()}
+    got = nearest(frame, frame, "id", "v", k=4, pivots=6, not_same="fold").toPandas()
+    for i in range(len(x)):
+        d = sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in range(len(x)) if fold[j] != fold[i])
+        assert sorted(got.loc[got["query"] == i, "neighbour"]) == sorted(j for _, j in d[:4])
