@@ -10,7 +10,8 @@ How it runs, at any size:
    each set, without which two sets cannot link.
 3. N-grams that only one class holds go away.  The smallest member of each remaining n-gram is a
    hub; a block is a hub with all that share an n-gram with it, so two sets that can link meet
-   in a block.  Blocks over ``block_size`` are dealt into chunks, each with the hub.
+   in a block.  Blocks over ``block_size`` are dealt into chunks, each with the hub.  Members whose
+   sizes and numbers of shared n-grams fit no other member of the block leave it before any text moves.
 4. Each block stores its sets in a prefix tree, ordered by frequency within the block, and
    walks the tree once per set: sets below a node share the overlap summed so far, and a subtree
    is left when even its longest rest could not reach the overlap that its sizes ask for.
@@ -25,18 +26,19 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, rows_of, strings, text_of
 
 SLOT_BITS = 20
 SLICE = 4096
+FEW_IDS = 1 << 20  # longs that are broadcast: 16 MB
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -168,7 +170,7 @@ class Components:
             self.parent[max(a, b)] = min(a, b)
 
 
-def tree_join(sets: list[list[int]], percent: int) -> list[int]:
+def tree_join(sets: Sequence[Sequence[int]], percent: int) -> list[int]:
     """For each set the number of the first set of its component, by links of ``percent`` or more."""
     often = Counter(t for s in sets for t in s)
     places = {t: k for k, t in enumerate(sorted(often, key=lambda t: (-often[t], t)))}
@@ -304,13 +306,79 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
     return docs.select("text").mapInArrow(run, "token long, mark long")
 
 
-def _blocks(rows: DataFrame, block_size: int) -> DataFrame:
-    """(hub, member, chunks): members share a token with the hub; chunks is how many parts the block gets."""
+def _members(rows: DataFrame, reps: DataFrame, block_size: int) -> tuple[DataFrame, DataFrame]:
+    """(hub, mark, n, common, chunks): members of blocks, with set size, how many prefix tokens a member
+    shares with anyone, and how many parts the block gets; and (mark, n, tokens), those tokens."""
     hubs = rows.groupBy("token").agg(F.min("mark").alias("hub"), F.max("mark").alias("most")).where("hub < most")
-    members = rows.join(hubs.select("token", "hub"), "token").select("hub", F.col("mark").alias("member")).distinct()
-    members = materialize(members, "jaccard-members")
-    sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_size)).cast("int").alias("chunks"))
-    return members.join(sizes, "hub")
+    shared = materialize(rows.join(hubs.select("token", "hub"), "token").select("hub", "mark", "token"), "jaccard-shared")
+    held = shared.groupBy("mark").agg(F.collect_set("token").alias("tokens"))  # bounded by a set's prefix
+    held = materialize(held.join(reps.select("mark", "n"), "mark").select("mark", "n", "tokens"), "jaccard-held")
+    pairs = materialize(shared.select("hub", "mark").distinct(), "jaccard-pairs")
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_size)).cast("int").alias("chunks"))
+    common = held.select("mark", "n", F.size("tokens").alias("common"))
+    return materialize(pairs.join(common, "mark").join(sizes, "hub"), "jaccard-members"), held
+
+
+def by_block(frame: DataFrame, work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``work`` on the rows of each block (first column), read as a stream of bounded blocks."""
+    parts = [part.split() for part in schema.split(", ")]
+    names = [name for name, _ in parts]
+    kinds = pa.schema([(name, pa.int64() if kind == "long" else pa.string()) for name, kind in parts])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+        for batch in rows_of(batches, 64):
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[0] != now:
+                    out += work(rows) if len(rows) > 1 else []
+                    now, rows = row[0], []
+                rows.append(row)
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=kinds)
+                out = []
+        out += work(rows) if len(rows) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=kinds)
+
+    return frame.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
+
+
+def _promising(placed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(block, mark) of ``placed`` (block, mark, n, common) that can link within their block.
+
+    Sets of sizes a <= b that link share at least ``needed overlap - needed(b) + 1`` tokens of their
+    prefixes, as the first tokens of what they share stand in both.  Sizes and numbers of shared
+    tokens are tested first, then the tokens that two members share with each other are counted.
+    """
+    p = percent
+
+    def fit(x: Column, y: Column) -> Column:
+        big, small = F.greatest(x["n"], y["n"]), F.least(x["n"], y["n"])
+        overlap = F.floor((p * (big + small) + 99 + p) / F.lit(100 + p))
+        least = overlap - F.floor((p * big + 99) / F.lit(100)) + 1
+        return (x["mark"] != y["mark"]) & (100 * small >= p * big) & (least <= F.least(x["common"], y["common"]))
+
+    blocks = placed.groupBy("block").agg(F.collect_list(F.struct("mark", "n", "common")).alias("all"))  # bounded by the block size
+    able = F.filter("all", lambda x: F.exists("all", lambda y: fit(x, y)))
+    blocks = blocks.select("block", F.explode(able).alias("one")).select("block", F.col("one.mark").alias("mark"))
+
+    def count(rows: list[tuple]) -> list[tuple]:
+        block = rows[0][0]
+        rows = sorted(((n, mark, frozenset(tokens)) for _, mark, n, tokens in rows), key=lambda r: r[:2])
+        kept = [False] * len(rows)
+        for i, (a, mark, mine) in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                b, other, theirs = rows[j]
+                if 100 * a < p * b:
+                    break
+                if kept[i] and kept[j] or mark == other:
+                    continue
+                least = -(-p * (a + b) // (100 + p)) - needed(b, p) + 1
+                if least <= min(len(mine), len(theirs)) and len(mine & theirs) >= least:
+                    kept[i] = kept[j] = True
+        return [(block, r[1]) for r, k in zip(rows, kept) if k]
+
+    return by_block(blocks.join(held, "mark").select("block", "mark", "n", "tokens"), count, "block string, mark long")
 
 
 def _walk(placed: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -319,6 +387,10 @@ def _walk(placed: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     ``placed`` is (block string, mark).  A representative's text goes to all its blocks as a set.
     """
     wanted = placed.join(reps.select("mark", "rep", "text_key"), "mark").select("block", "rep", "text_key")
+    wanted = materialize(wanted, "jaccard-placed")
+    ids = wanted.select(F.col("rep").alias("id")).distinct()
+    # other texts need not travel: by a broadcast where the ids are few, else by a shuffle
+    docs = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
     texts = docs.join(wanted, (docs["id"] == wanted["rep"]) & (docs["text_key"] == wanted["text_key"]))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,15 +412,14 @@ def _walk(placed: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
                     [pa.array(blocks, pa.string()), pa.array(ids, pa.int64()), tokens], names=["block", "rep", "tokens"]
                 )
 
-    def join(block: pa.Table) -> pa.Table:
-        sets = sorted(set(zip(block["rep"].to_pylist(), map(tuple, block["tokens"].to_pylist()))))  # repeats count once
-        ids = [i for i, _ in sets]
-        roots = tree_join([s for _, s in sets], percent)
-        pairs = [(i, ids[r]) for i, r in zip(ids, roots) if ids[r] != i]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    def join(rows: list[tuple]) -> list[tuple]:
+        members = sorted({(rep, tuple(tokens)) for _, rep, tokens in rows})  # repeats count once
+        ids = [i for i, _ in members]
+        roots = tree_join([t for _, t in members], percent)
+        return [(i, ids[r]) for i, r in zip(ids, roots) if ids[r] != i]
 
     made = texts.select("block", "rep", "text").mapInArrow(sets, "block string, rep long, tokens array<long>")
-    return made.groupBy("block").applyInArrow(join, "a long, b long")
+    return by_block(made, join, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -394,32 +465,33 @@ def jaccard_components(
     profile, counts = _profile(docs.select("id", "text_key", "text"), n)
     mark = F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("long")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
-    reps = profile.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(least)
-    reps = materialize(reps.select("class", mark.alias("mark"), F.col("first.id").alias("rep"), F.col("first.text_key").alias("text_key")), "classes")
+    reps = profile.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(least, F.first("n").alias("n"))
+    reps = materialize(reps.select("class", mark.alias("mark"), F.col("first.id").alias("rep"), F.col("first.text_key").alias("text_key"), "n"), "classes")
 
     rows = materialize(_prefixes(docs, n, percent, counts), "prefixes")
-    blocks = materialize(_blocks(rows, block_size), "jaccard-blocks")
-    one = F.pmod(F.xxhash64("member"), F.col("chunks"))
-    spread = F.when(F.col("hub") == F.col("member"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(one.cast("int")))
-    placed = blocks.select(F.col("member").alias("mark"), "hub", F.explode(spread).alias("chunk"))
-    placed = placed.select(F.concat_ws(":", "hub", "chunk").alias("block"), "mark")
+    members, held = _members(rows, reps, block_size)
+    own = F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int")
+    spread = F.when(F.col("hub") == F.col("mark"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
+    placed = members.withColumn("chunk", F.explode(spread))
+    placed = _promising(placed.select(F.concat_ws(":", "hub", "chunk").alias("block"), "mark", "n", "common"), held, percent)
     links = materialize(_walk(placed, reps, docs, n, percent), "links")
     found = materialize(components(links), "components")
 
-    split = blocks.where("chunks > 1").join(reps.select(F.col("mark").alias("member"), "rep"), "member")
+    split = members.where("chunks > 1").join(reps.select("mark", "rep"), "mark")
     split = split.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    split = split.select("hub", "member", "chunks", F.coalesce("component", "rep").alias("component"))
+    split = split.select("hub", "mark", "n", "common", "chunks", F.coalesce("component", "rep").alias("component"))
     parts = split.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = main.where("most < all").select("hub", "main", F.ceil((F.col("all") - F.col("most")) / F.lit(block_size)).cast("int").alias("strays"))
     open_ = materialize(split.join(main, "hub"), "strays")
     if not open_.isEmpty():
-        own = F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")
-        stray = F.pmod(F.xxhash64("member"), F.col("strays")).cast("int")
-        lone = open_.where("component <> main").select("hub", "member", stray.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-        rest = open_.select("hub", "member", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), own.alias("j"))
-        placed = lone.union(rest).select(F.concat_ws(":", "hub", "i", "j").alias("block"), F.col("member").alias("mark")).distinct()
-        more = _walk(placed, reps, docs, n, percent)
+        stray = F.pmod(F.xxhash64("mark"), F.col("strays")).cast("int")
+        named = ["hub", "mark", "n", "common"]
+        lone = open_.where("component <> main")
+        lone = lone.select(*named, stray.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+        rest = open_.select(*named, F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), own.alias("j"))
+        placed = lone.union(rest).select(F.concat_ws(":", "hub", "i", "j").alias("block"), "mark", "n", "common").distinct()
+        more = _walk(_promising(placed, held, percent), reps, docs, n, percent)
         found = components(links.union(more))
 
     by_class = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
