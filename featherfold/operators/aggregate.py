@@ -109,6 +109,8 @@ def aggregate(
                     target = ordered if func in ("first", "last") else plain
                     target.append(f"{_text(func, x, s.where, order)} AS {quoted(name)}")
     parts = [rows.groupBy(*keys).agg(*[F.expr(e) for e in exprs]) for exprs in (plain, ordered) if exprs]
+    if not parts:  # a filtered count would know only the keys of its own rows
+        parts.append(rows.select(*keys).distinct())
     for name, x, where in distinct:
         # a NULL value keeps the key alive with count 0
         seen = rows.where(where) if where else rows
@@ -126,11 +128,10 @@ def aggregate_unfused(
 ) -> DataFrame:
     """The same result by one filter, group-by and left join per slice (for comparison)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    out = None
+    out = df.where(all_present(keys)).select(*keys).distinct()
     for s in slices:
         rows = df.where(s.where) if s.where else df
-        part = aggregate(rows, keys, [Slice(s.spec, s.prefix, None, s.names)], order)
-        out = part if out is None else out.join(part, keys, "left")
+        out = out.join(aggregate(rows, keys, [Slice(s.spec, s.prefix, None, s.names)], order), keys, "left")
     return out
 
 

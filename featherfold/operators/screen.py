@@ -2,65 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import as_col, nan_to_null
+from ..functions.scalar import as_col
 from ..models.metrics import auc, auc_value
 from ..models.training import assemble, positive_score, random_forest
 from .combine import minus_names, union_names
 from .ordered import number_rows, running_sums
 from .profile import melt, to_long
 
-PAIRS_PER_PASS = 500
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of the rows where both are present; NULL where one of them does not vary."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def label_correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """(feature, importance): Pearson correlation with the label, pairwise complete, in one aggregate."""
     y = as_col(label).cast("double")
-    exprs = [F.corr(as_col(c).cast("double"), y).alias(f"{i}_importance") for i, c in enumerate(columns)]
+    exprs = [correlation(as_col(c).cast("double"), y).alias(f"{i}_importance") for i, c in enumerate(columns)]
     return to_long(df.agg(*exprs), columns, ["importance"], "feature")
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for every pair of columns, a before b; a pair skips rows where one of the two is missing.
 
-    Few pairs are one aggregate.  For many, columns without gaps go through the
-    library's correlation matrix in one pass over the data, and only pairs that
-    touch a column with gaps are aggregated one by one.
+    One pass over the data for any number of columns: each task adds up, for all pairs at once,
+    the counts, sums, squares and products of the rows where both are present, of values less the
+    column's mean in units of its deviation.  r is NULL where a column does not vary.
     """
     columns = list(columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    if len(pairs) <= PAIRS_PER_PASS:
-        return _pairs_by_aggregate(df, pairs)
-    gaps = df.agg(*[F.count_if(as_col(c).isNull()).alias(str(i)) for i, c in enumerate(columns)]).collect()[0]
-    full = [c for i, c in enumerate(columns) if not gaps[str(i)]]
-    spark, place, out = df.sparkSession, {c: i for i, c in enumerate(full)}, None
-    if len(full) > 1:
-        vectors = assemble(df.select(*[as_col(c) for c in full]), full).select("features")
-        matrix = Correlation.corr(vectors, "features").collect()[0][0].toArray()
-        rows = [(a, b, float(matrix[place[a], place[b]])) for a, b in pairs if a in place and b in place]
-        table = spark.createDataFrame(rows, "a string, b string, r double")
-        out = table.withColumn("r", nan_to_null("r"))
-    rest = [(a, b) for a, b in pairs if a not in place or b not in place]
-    for start in range(0, len(rest), PAIRS_PER_PASS):
-        part = _pairs_by_aggregate(df, rest[start:start + PAIRS_PER_PASS])
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _pairs_by_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    row = df.agg(
-        *[F.corr(as_col(a).cast("double"), as_col(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(pairs)]
+    k = len(columns)
+    if k < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    wide = df.select(*[as_col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    stats = wide.agg(*[f(f"c{i}") for i in range(k) for f in (F.avg, F.stddev_pop)]).first()
+    shift = np.array([0.0 if v is None else v for v in stats[0::2]])
+    scale = np.array([v or 1.0 for v in stats[1::2]])
+    names = ["at", "n", "x", "xx", "xy"]
+    schema = "at int, n array<double>, x array<double>, xx array<double>, xy array<double>"
+
+    def rows(total: dict) -> Iterator[pa.RecordBatch]:
+        for at, parts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *[pa.array([p]) for p in parts]], names=names)
+
+    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            there = ~np.isnan(x)
+            x, there = np.where(there, (x - shift) / scale, 0.0), there.astype(float)
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield from rows({i: total[:, i] for i in range(k)})
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, *parts in zip(*[c.to_pylist() for c in batch.columns]):
+                total[at] = total.get(at, 0) + np.array(parts)
+        yield from rows(total)
+
+    sums = wide.mapInArrow(add_up, schema).repartition("at").mapInArrow(merge, schema)
+    # a pair needs the row of either column: what column a sums up where b is present, and the other way round
+    cell = sums.select("at", F.posexplode(F.arrays_zip("n", "x", "xx", "xy")).alias("with", "s"))
+    one = cell.where("at < with").select(F.col("at").alias("i"), F.col("with").alias("j"), F.col("s").alias("p"))
+    two = cell.where("at > with").select(F.col("with").alias("i"), F.col("at").alias("j"), F.col("s").alias("q"))
+    p, q = F.col("p"), F.col("q")
+    spread_a, spread_b = p["n"] * p["xx"] - p["x"] * p["x"], q["n"] * q["xx"] - q["x"] * q["x"]
+    flat = lambda spread, s: spread <= 1e-13 * s["n"] * s["xx"]  # noqa: E731  nothing but rounding
+    r = F.when(flat(spread_a, p) | flat(spread_b, q), None).otherwise(
+        F.try_divide(p["n"] * p["xy"] - p["x"] * q["x"], F.sqrt(F.greatest(spread_a, F.lit(0.0)) * F.greatest(spread_b, F.lit(0.0))))
+    )
+    label = F.lit(columns)
+    return one.join(two, ["i", "j"]).select(
+        F.element_at(label, F.col("i") + 1).alias("a"), F.element_at(label, F.col("j") + 1).alias("b"),
+        F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
     )
-    items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(str(i)).alias("r")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*items)))
 
 
 def correlated_columns(df: DataFrame, columns: Sequence[str], limit: float = 0.97, absolute: bool = False) -> list[str]:
@@ -87,6 +112,11 @@ def distance_correlations(df: DataFrame, columns: Sequence[str], label: str) ->
     """
     y = as_col(label).cast("int")
     long = melt(df.where(y.isNotNull()).withColumn("__y", y), columns, ["__y"]).where(F.col("value").isNotNull())
+    # the measure knows neither shift nor scale: without them, sums of squares do not cancel
+    scales = long.groupBy("column").agg(F.avg("value").alias("__mean"), F.stddev_pop("value").alias("__dev"))
+    long = long.join(F.broadcast(scales), "column")  # one row per listed column
+    scaled = F.coalesce(F.try_divide(F.col("value") - F.col("__mean"), F.col("__dev")), F.lit(0.0))
+    long = long.select("column", scaled.alias("value"), "__y")
     counts = long.groupBy("column", "value").agg(
         F.sum(1.0 - F.col("__y")).alias("c0"), F.sum(F.col("__y").cast("double")).alias("c1")
     )
