@@ -509,9 +509,25 @@ def star_entities(spark, d) -> EntitySet:
     )
 
 
-@query("e1_entity_index_check", "SELECT o_orderkey, count(*) AS count FROM orders GROUP BY o_orderkey HAVING count(*) > 1")
+_INDEXES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey"}
+
+
+@query(
+    "e1_entity_index_check",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS entity, CAST({k} AS VARCHAR) AS key, count(*) AS count FROM {t} GROUP BY {k} HAVING count(*) > 1"
+        for t, k in [*_INDEXES.items(), ("(SELECT row_number() OVER () AS line_index FROM lineitem)", "line_index")]
+    ).replace("'(SELECT row_number() OVER () AS line_index FROM lineitem)'", "'lineitem'"),
+)
 def e1(spark, d):
-    return star_entities(spark, d).duplicate_keys("orders")
+    """Keys that occur more than once, of all five entities."""
+    es = star_entities(spark, d)
+    out = None
+    for name, entity in es.entities.items():
+        key = F.col(entity.key).cast("string").alias("key")
+        part = es.duplicate_keys(name).select(F.lit(name).alias("entity"), key, "count")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(

@@ -132,17 +132,17 @@ def b9(spark, d):
 
 @query(
     "b9_outlier_screen",
-    f"WITH {credit_sql('bureau')}, {_fence_sql('bureau', ['AMT_CREDIT_SUM', 'AMT_CREDIT_SUM_DEBT', 'AMT_CREDIT_MAX_OVERDUE', 'AMT_CREDIT_SUM_LIMIT', 'AMT_ANNUITY'])} "
+    f"WITH {credit_sql('bureau')}, {_fence_sql('bureau', ['AMT_CREDIT_SUM', 'AMT_CREDIT_SUM_DEBT', 'AMT_CREDIT_SUM_OVERDUE', 'AMT_CREDIT_MAX_OVERDUE', 'AMT_CREDIT_SUM_LIMIT', 'AMT_ANNUITY'])} "
     + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column" FROM bureau, f{i} WHERE q3 > q1
         HAVING count(*) FILTER (WHERE {q(c)} NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) > 0"""
-        for i, c in enumerate(["AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_MAX_OVERDUE", "AMT_CREDIT_SUM_LIMIT", "AMT_ANNUITY"])
+        for i, c in enumerate(["AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_OVERDUE", "AMT_CREDIT_MAX_OVERDUE", "AMT_CREDIT_SUM_LIMIT", "AMT_ANNUITY"])
     ),
 )
 def b9b(spark, d):
     """All AMT_ columns go through the automatic screen first."""
     df = credit(spark, d, "bureau")
-    amounts = [c for c in df.columns if c.startswith("AMT_") and c != "AMT_CREDIT_SUM_OVERDUE"]
+    amounts = [c for c in df.columns if c.startswith("AMT_")]
     return outlier_report(df.select(*amounts)).select("column")
 
 

@@ -10,7 +10,8 @@ from ..models.metrics import auc, fold_metrics
 from ..models.neighbours import neighbour_share
 from ..models.training import (
     OutOfFold, assemble, boosted_trees, class_weights, decision_tree, grid, hold_out, logistic, normalised_importances,
-    perceptron, pipeline, positive_score, random_forest, random_maps, search, search_table, with_fold,
+    perceptron, pipeline, positive_score, random_forest, random_maps, search, search_table, winner_auc,
+    with_fold,
 )
 from ..operators.clean import Standardizer
 from ..operators.combine import join_scores
@@ -111,18 +112,52 @@ def m8(spark, d):
 
 @query(
     "m9_mean_importance",
-    """WITH t AS (SELECT p_brand AS feature, p_type, avg(p_size) AS importance FROM part WHERE p_type IN ('ECONOMY', 'SMALL') GROUP BY p_brand, p_type),
+    """WITH t AS (SELECT p_brand AS feature, p_type, avg(p_size) AS importance FROM part GROUP BY p_brand, p_type),
     m AS (SELECT feature, avg(importance) AS importance FROM t GROUP BY feature)
     SELECT feature, importance, importance / sum(importance) OVER () AS importance_normalized FROM m""",
 )
 def m9(spark, d):
+    """One table of importances per part type, all types."""
+    part = table(spark, d, "part")
+    types = [r["p_type"] for r in part.select("p_type").distinct().orderBy("p_type").collect()]
     per_fold = [
-        table(spark, d, "part").where(F.col("p_type") == t).groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_size").alias("importance"))
-        for t in ("ECONOMY", "SMALL")
+        part.where(F.col("p_type").eqNullSafe(t)).groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_size").alias("importance"))
+        for t in types
     ]
     return normalised_importances(mean_importance(per_fold))
 
 
+@query("m9_fold_model_importance")
+def m9b(spark, d):
+    """Mean importances of real fold models, sorted, with their shares."""
+    df = assemble(customers(spark, d), CUSTOMER_X)
+    run = OutOfFold(random_forest(LABEL, numTrees=40, maxDepth=5), KEY, LABEL, "RF").run(df)
+    return normalised_importances(run.importances(CUSTOMER_X))
+
+
+_FOLD_OF_CUSTOMER = f"SELECT c_custkey, {bucket_sql('c_custkey', 5, 250)} AS fold, true AS inside FROM customer"
+
+
+@query("m6_early_stopped_folds", _FOLD_OF_CUSTOMER)
+def m6c(spark, d):
+    """Each fold stops on its own held-out rows: every id once, its fold, its score inside [0, 1]."""
+    df = assemble(customers(spark, d), CUSTOMER_X)
+    gbt = boosted_trees(LABEL, maxIter=20, maxDepth=3, validationTol=0.001)
+    run = OutOfFold(gbt, KEY, LABEL, "LGB", early_stopping=True).run(df)
+    return run.oof.select(KEY, "fold", F.col("LGB").between(0, 1).alias("inside"))
+
+
+@query("m7_store_keeps_runs_apart", _FOLD_OF_CUSTOMER)
+def m7b(spark, d):
+    """Five folds after three in one store: all rows of the five come back, none of the three."""
+    store = shared_dir(spark, "oof-runs")
+    df = assemble(customers(spark, d), CUSTOMER_X)
+    forest = random_forest(LABEL, numTrees=10)
+    OutOfFold(forest, KEY, LABEL, "RF", folds=3, store=store).run(df)
+    run = OutOfFold(forest, KEY, LABEL, "RF", folds=5, store=store).run(df)
+    return run.oof.select(KEY, "fold", F.col("RF").between(0, 1).alias("inside"))
+
+
 @query("m10_early_stopping")
 def m10(spark, d):
     df = assemble(with_fold(customers(spark, d), KEY, 4), CUSTOMER_X).withColumn("held", F.col("fold") == 0)
@@ -187,7 +222,13 @@ def m14(spark, d):
     return score_weights(labelled_scores(spark, d), "y", _VECTORS)
 
 
-@query("m14_best_blend")
+@query(
+    "m14_best_blend",
+    f"""WITH {SCORES_SQL}, {_LABELS}, w(vector, a, b, c) AS (VALUES {_VECTOR_ROWS}),
+    m AS (SELECT vector, y, 0e0 + "LGB" * a + "XG" * b + "RF" * c AS s FROM l CROSS JOIN w),
+    best AS (SELECT k FROM {_auc_sql('m', 's', 'y', 'vector')} ORDER BY 1 - auc, k LIMIT 1)
+    SELECT c_custkey, 0e0 + "LGB" * a + "XG" * b + "RF" * c AS score FROM scores, w, best WHERE vector = k""",
+)
 def m14b(spark, d):
     scores = labelled_scores(spark, d)
     return blend(scores, best_weights(scores, "y", _VECTORS), "score").select(KEY, "score")
@@ -206,7 +247,7 @@ def m15(spark, d):
 def m16(spark, d):
     data = assemble(labelled_scores(spark, d), ["LGB", "XG", "RF"])
     lr = logistic("y")
-    model = search(lr, grid({lr.regParam: [0.0, 0.01, 0.1]}), data, "y", folds=3)
+    model = search(lr, grid({lr.regParam: [0.0, 0.01, 0.1]}), data, "y", folds=3, key=KEY)
     return positive_score(model.bestModel.transform(data)).select(KEY, "score")
 
 
@@ -230,6 +271,17 @@ def m18(spark, d):
     return search_table(search(gbt, maps, data, LABEL, folds=2), spark, maps)
 
 
+@query("m18_winner_on_hold_out")
+def m18b(spark, d):
+    """Trials on the train rows, and the winner's AUC on rows that no trial saw."""
+    train, held = hold_out(assemble(customers(spark, d), CUSTOMER_X), KEY, 0.75)
+    gbt = boosted_trees(LABEL, maxIter=5)
+    maps = grid({gbt.maxDepth: [2, 4]})
+    found = search(gbt, maps, train, LABEL, folds=3, key=KEY)
+    best = search_table(found, spark, maps).limit(1)  # the winner alone
+    return best.withColumn("held_auc", F.lit(winner_auc(found, held, LABEL)).cast("double"))
+
+
 @query(
     "m19_submission",
     f"WITH {SCORES_SQL} SELECT c_custkey AS \"SK_ID_CURR\", printf('%.8f', (\"LGB\" + \"XG\" + \"RF\") / 3) AS \"TARGET\" FROM scores",

@@ -107,7 +107,8 @@ def a7(spark, d):
     scores = {"LGB": F.col("c_acctbal") / 1e4, "XG": F.col("c_nationkey") / 25.0, "RF": (F.col("c_custkey") % 10) / 10.0}
     for model, score in scores.items():
         write_csv(c.select("c_custkey", score.alias("score")), f"{path}/{model}_oof.csv")
-    return gather_csv_scores(spark, path, "c_custkey", list(scores), "oof.csv")
+    write_csv(c.select("c_custkey", F.lit(0.5).alias("score")), f"{path}/OLD_oof.csv")
+    return gather_csv_scores(spark, path, "c_custkey", ending="oof.csv", without=["OLD"])
 
 
 @query(

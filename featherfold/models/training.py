@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Callable, Mapping, Sequence
 
@@ -13,13 +14,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_col, hash_bucket
-from .metrics import fold_metrics
+from .metrics import auc_value, fold_metrics
 
 FEATURES = "features"
 
@@ -68,7 +70,7 @@ def positive_score(df: DataFrame, name: str = "score") -> DataFrame:
 
 
 def boosted_trees(label: str, **params) -> GBTClassifier:
-    # fixed values: step size, depth and column share of the workload's boosted trees
+    # fixed values: row and column shares of the workload's boosted trees; rounds, step and depth are own defaults
     return GBTClassifier(labelCol=label, featuresCol=FEATURES, **{
         "maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.87,
         "featureSubsetStrategy": "0.66", "seed": 50, **params,
@@ -110,20 +112,42 @@ def class_weights(df: DataFrame, label: str, positive: float | None = None, name
 # --- out of fold ------------------------------------------------------------------
 
 
+def _described(stage: Estimator) -> list:
+    """Class and parameters of an estimator, without its random name."""
+    if isinstance(stage, Pipeline):
+        return [_described(s) for s in stage.getStages()]
+    values = {p.name: str(v).replace(stage.uid, "") for p, v in stage.extractParamMap().items()}
+    return [type(stage).__name__, sorted(values.items())]
+
+
+def _identity(df: DataFrame) -> list:
+    """Columns, row count and an order-free digest of a frame's rows."""
+    values = [vector_to_array(as_col(f.name)) if isinstance(f.dataType, VectorUDT) else as_col(f.name) for f in df.schema.fields]
+    total = F.sum(F.xxhash64(*values).cast("decimal(38,0)"))
+    return [df.dtypes, *[str(v) for v in df.agg(F.count(F.lit(1)), total).first()]]
+
+
 class OutOfFold:
     """K-fold scores of a learner: every train id once, test ids averaged over folds.
 
-    With ``store`` (a folder in shared storage) each fold's scores are written as
-    ``model=<name>/fold=<i>`` and a rerun skips the folds that are complete.
-    Without it the results stay lazy over the fitted models.
+    With ``store`` (a folder in shared storage) each fold's model and scores are written as
+    ``model=<name>/run=<digest>/fold=<i>`` and a rerun skips the folds that are complete.  The digest
+    covers folds, seed, parameters, columns and rows, so a run never meets the folds of another one;
+    finding it reads both frames once.  ``metrics`` and ``importances`` cover finished folds as well,
+    as their models are read back.  Without a store the results stay lazy over the fitted models.
+
+    ``early_stopping`` hands each fold's own rows to the learner as validation rows (learners with a
+    ``validationIndicatorCol``), so that a fold stops when its held-out loss no longer falls.
     """
 
     def __init__(
         self, estimator: Estimator, key: str, label: str, name: str = "score", folds: int = 5, seed: int = 250,
-        store: str | None = None,
+        store: str | None = None, early_stopping: bool = False,
     ):
         self.estimator, self.key, self.label, self.name = estimator, key, label, name
-        self.folds, self.seed, self.store = folds, seed, store
+        self.folds, self.seed, self.store, self.early_stopping = folds, seed, store, early_stopping
+        if early_stopping and not estimator.hasParam("validationIndicatorCol"):
+            raise ValueError("this learner takes no validation rows")
         self.models: dict[int, PipelineModel] = {}
         self.fitted: list[int] = []
 
@@ -132,75 +156,95 @@ class OutOfFold:
         marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
+    def _base(self, train: DataFrame, test: DataFrame | None) -> str:
+        told = [
+            self.key, self.label, self.folds, self.seed, self.early_stopping, _described(self.estimator),
+            _identity(train), None if test is None else _identity(test),
+        ]
+        return f"{self.store}/model={self.name}/run={hashlib.md5(repr(told).encode()).hexdigest()}"
+
     def _scored(self, model, df: DataFrame, *keep: Column | str) -> DataFrame:
         return positive_score(model.transform(df), self.name).select(self.key, *keep, self.name)
 
+    def _fit(self, data: DataFrame, fold: int) -> PipelineModel:
+        if self.early_stopping:
+            learner = self.estimator.copy({self.estimator.validationIndicatorCol: "__held"})
+            model = learner.fit(data.withColumn("__held", F.col("fold") == fold))
+        else:
+            model = self.estimator.fit(data.where(F.col("fold") != fold))
+        return model if isinstance(model, PipelineModel) else PipelineModel([model])
+
     def run(self, train: DataFrame, test: DataFrame | None = None) -> "OutOfFold":
         """Both frames carry a ``features`` column (see :func:`assemble`)."""
         spark = train.sparkSession
-        data = with_fold(train, self.key, self.folds, self.seed)
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for i in range(self.folds):
-                base = f"{self.store}/model={self.name}/fold={i}" if self.store else None
-                if base and self._done(spark, f"{base}/part=test" if test is not None else f"{base}/part=oof"):
-                    continue
-                model = self.estimator.fit(data.where(F.col("fold") != i))
-                self.models[i] = model
-                self.fitted.append(i)
-                if base:
-                    oof = self._scored(model, data.where(F.col("fold") == i), "fold", self.label)
-                    oof.write.mode("overwrite").parquet(f"{base}/part=oof")
-                    if test is not None:
-                        self._scored(model, test).write.mode("overwrite").parquet(f"{base}/part=test")
-        finally:
-            data.unpersist()
+        self._run = self._base(train, test) if self.store else None
         lazy = with_fold(train, self.key, self.folds, self.seed)
+        todo = []
+        for i in range(self.folds):
+            base = f"{self._run}/fold={i}"
+            if self._run and self._done(spark, f"{base}/part=test" if test is not None else f"{base}/part=oof"):
+                self.models[i] = PipelineModel.load(f"{base}/model")
+            else:
+                todo.append(i)
+        if todo:
+            data = lazy.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                for i in todo:
+                    model = self.models[i] = self._fit(data, i)
+                    self.fitted.append(i)
+                    if self._run:
+                        base = f"{self._run}/fold={i}"
+                        model.write().overwrite().save(f"{base}/model")
+                        oof = self._scored(model, data.where(F.col("fold") == i), "fold", self.label)
+                        oof.write.mode("overwrite").parquet(f"{base}/part=oof")
+                        if test is not None:
+                            self._scored(model, test).write.mode("overwrite").parquet(f"{base}/part=test")
+            finally:
+                data.unpersist()
         self._train = lazy
         self.oof = self._oof_scores(spark, lazy)
         self.test = None if test is None else self._test_scores(spark, test)
         return self
 
     def _paths(self, part: str) -> list[str]:
-        return [f"{self.store}/model={self.name}/fold={i}/part={part}" for i in range(self.folds)]
+        return [f"{self._run}/fold={i}/part={part}" for i in range(self.folds)]
+
+    def _all_scores(self, df: DataFrame) -> DataFrame:
+        """``df`` with one score column ``__s<i>`` per fold model: one pass over the rows."""
+        made = ["rawPrediction", "probability", "prediction"]
+        for i in range(self.folds):
+            before = set(df.columns)
+            scored = positive_score(self.models[i].transform(df), f"__s{i}")
+            df = scored.drop(*made, *[c for c in scored.columns if c not in before and not c.startswith("__s")])
+        return df
 
     def _oof_scores(self, spark: SparkSession, data: DataFrame) -> DataFrame:
-        if self.store:
+        if self._run:
             return spark.read.parquet(*self._paths("oof"))
-        out = None
-        for i, model in self.models.items():
-            part = self._scored(model, data.where(F.col("fold") == i), "fold", self.label)
-            out = part if out is None else out.unionByName(part)
-        return out
+        own = F.coalesce(*[F.when(F.col("fold") == i, F.col(f"__s{i}")) for i in range(self.folds)])
+        return self._all_scores(data).select(self.key, "fold", self.label, own.alias(self.name))
 
     def _test_scores(self, spark: SparkSession, test: DataFrame) -> DataFrame:
-        if self.store:
+        if self._run:
             rows = spark.read.parquet(*self._paths("test"))
             return rows.groupBy(self.key).agg(F.avg(self.name).alias(self.name))
         # one score column per fold on the same rows, so the average needs no shuffle
-        out, columns = test, []
-        made = ["rawPrediction", "probability", "prediction"]
-        for i, model in self.models.items():
-            out = positive_score(model.transform(out), f"__s{i}").drop(*made)
-            columns.append(F.col(f"__s{i}"))
-        return out.select(self.key, (sum(columns[1:], columns[0]) / len(columns)).alias(self.name))
+        columns = [F.col(f"__s{i}") for i in range(self.folds)]
+        return self._all_scores(test).select(self.key, (sum(columns[1:], columns[0]) / len(columns)).alias(self.name))
 
     def metrics(self) -> DataFrame:
-        """(fold, train, valid) AUCs with an overall row (needs the models of this run)."""
-        out = None
-        for i, model in self.models.items():
-            part = self._scored(model, self._train.where(F.col("fold") != i), self.label)
-            part = part.withColumn("fold", F.lit(i))
-            out = part if out is None else out.unionByName(part)
-        return fold_metrics(self.oof, out, self.name, self.label)
+        """(fold, train, valid) AUCs with an overall row, over all folds."""
+        others = F.array(*[F.struct(F.lit(i).alias("__model"), F.col(f"__s{i}").alias(self.name)) for i in range(self.folds)])
+        rows = self._all_scores(self._train).select("fold", self.label, F.inline(others))
+        fitted_on = rows.where(F.col("fold") != F.col("__model")).select(F.col("__model").alias("fold"), self.label, self.name)
+        return fold_metrics(self.oof, fitted_on, self.name, self.label)
 
     def importances(self, features: Sequence[str]) -> DataFrame:
-        """(feature, importance): mean of the fold models' importances."""
+        """(feature, importance): mean of all fold models' importances."""
         spark = self.oof.sparkSession
         rows = []
         for model in self.models.values():
-            stage = model.stages[-1] if isinstance(model, PipelineModel) else model
-            rows += [(f, float(v)) for f, v in zip(features, stage.featureImportances.toArray())]
+            rows += [(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray())]
         table = spark.createDataFrame(rows, "feature string, importance double")
         return table.groupBy("feature").agg(F.avg("importance").alias("importance"))
 
@@ -231,9 +275,17 @@ def grid(space: Mapping[Param, Sequence]) -> list[dict]:
 
 def search(
     estimator: Estimator, maps: Sequence[dict], train: DataFrame, label: str, folds: int = 3, seed: int = 0,
-    parallelism: int = 2,
+    parallelism: int = 2, key: str | None = None,
 ):
-    """Cross-validated choice among parameter maps by AUC (fold by seeded hash of ``fold`` if present)."""
+    """Cross-validated choice among parameter maps by AUC.
+
+    Folds are the column ``fold`` if present, else a seeded hash of the id column ``key``: never random
+    rows, so the choice does not change with the partitioning.
+    """
+    if "fold" not in train.columns:
+        if key is None:
+            raise ValueError("give a fold column or the id column to make one from")
+        train = with_fold(train, key, folds, seed)
     cv = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=list(maps),
@@ -241,11 +293,16 @@ def search(
         numFolds=folds,
         seed=seed,
         parallelism=parallelism,
-        foldCol="fold" if "fold" in train.columns else "",
+        foldCol="fold",
     )
     return cv.fit(train)
 
 
+def winner_auc(cv_model, held: DataFrame, label: str) -> float | None:
+    """Exact AUC of the search's best model on rows that the search never saw."""
+    return auc_value(positive_score(cv_model.bestModel.transform(held), "__score"), "__score", label)
+
+
 def search_table(cv_model, spark: SparkSession, maps: Sequence[dict]) -> DataFrame:
     """(trial, params, auc), best first: one row per trial."""
     rows = [

@@ -73,9 +73,11 @@ class OneHotEncoder:
     values: Mapping[str, Sequence[str]]
 
     @staticmethod
-    def fit(df: DataFrame, columns: Sequence[str] | None = None, max_values: int = 1000) -> "OneHotEncoder":
-        found = distinct_texts(df, columns or text_columns(df), max_values + 1)
-        wide = [c for c, vs in found.items() if len(vs) > max_values]
+    def fit(df: DataFrame, columns: Sequence[str] | None = None, max_values: int | None = None) -> "OneHotEncoder":
+        """All values of each column; with ``max_values``, a column with more is an error."""
+        names = columns or text_columns(df)
+        found = distinct_texts(df, names, None if max_values is None else max_values + 1)
+        wide = [c for c, vs in found.items() if max_values is not None and len(vs) > max_values]
         if wide:
             raise ValueError(f"more than {max_values} distinct values in {wide}")
         return OneHotEncoder({c: [v for v in vs if v is not None] for c, vs in found.items()})
@@ -89,25 +91,27 @@ class OneHotEncoder:
         return df.withColumns(flags).drop(*self.values)
 
 
-def distinct_texts(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list[str | None]]:
-    """Sorted distinct values per column; at most ``most`` of each reach the driver.
+def distinct_texts(df: DataFrame, columns: Sequence[str], most: int | None) -> dict[str, list[str | None]]:
+    """Sorted distinct values per column; with ``most``, a column with more gives ``most + 1`` times None.
 
-    One pass over all columns: (column, value) pairs combine map-side.
+    One aggregate over the rows gives a sketch of every column's distinct values, which combines
+    map-side to a few kilobytes.  Only columns whose sketch is not far over ``most`` (twice, at an error
+    of 2 %) are then counted and gathered exactly, so values of wide columns never move.
     """
     if not columns:
         return {}
-    items = [F.struct(F.lit(c).alias("column"), as_col(c).alias("value")) for c in columns]
-    pairs = df.select(F.inline(F.array(*items))).distinct()
-    out: dict[str, list[str | None]] = {}
-    for c in columns:
-        out[c] = []
-    sizes = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = [c for c, n in sizes.items() if n <= most]
-    for r in pairs.where(F.col("column").isin(small)).collect() if small else []:
-        out[r["column"]].append(r["value"])
-    for c, n in sizes.items():
-        out[c] = sorted(out[c], key=lambda v: (v is None, v)) if n <= most else [None] * (most + 1)
-    return out
+    names = list(dict.fromkeys(columns))
+    if most is not None:
+        near = df.agg(*[F.approx_count_distinct(as_col(c), 0.02).alias(str(i)) for i, c in enumerate(names)]).first()
+        names = [c for i, c in enumerate(names) if near[i] <= 2 * most]
+    out: dict[str, list[str | None]] = {c: [] for c in columns if c in names or most is None}
+    if names:
+        items = [F.struct(F.lit(c).alias("column"), as_col(c).alias("value")) for c in names]
+        pairs = df.select(F.inline(F.array(*items))).distinct()
+        for r in pairs.collect():  # at most about 2 * most values of a column, or what the caller asked to have whole
+            out[r["column"]].append(r["value"])
+    full = lambda c: c not in out or (most is not None and len(out[c]) > most)
+    return {c: [None] * (most + 1) if full(c) else sorted(out[c], key=lambda v: (v is None, v)) for c in columns}
 
 
 def zero_one_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

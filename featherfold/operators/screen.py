@@ -12,7 +12,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import as_col
+from ..functions.scalar import as_col, hash_bucket
 from ..models.metrics import auc, auc_value
 from ..models.training import assemble, positive_score, random_forest
 from .combine import minus_names, union_names
@@ -189,16 +189,22 @@ def _ranked(spark, names: Sequence[str], values) -> DataFrame:
 
 
 def lasso_ranks(
-    df: DataFrame, columns: Sequence[str], label: str, penalties: Sequence[float], folds: int = 3, max_iter: int = 2000
+    df: DataFrame, columns: Sequence[str], label: str, penalties: Sequence[float], folds: int = 3, max_iter: int = 2000,
+    key: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Absolute coefficients of an L1 linear fit whose penalty is chosen by cross-validation."""
-    data = assemble(df.withColumn("__y", as_col(label).cast("double")), columns).select("features", "__y")
+    """Absolute coefficients of an L1 linear fit whose penalty is chosen by cross-validation.
+
+    Folds are a seeded hash of the columns ``key``, or of all of ``columns`` where no key is named.
+    """
+    fold = hash_bucket(list(key or columns), folds, 0)
+    data = assemble(df.withColumns({"__y": as_col(label).cast("double"), "__fold": fold}), columns)
+    data = data.select("features", "__y", "__fold")
     lr = LinearRegression(labelCol="__y", featuresCol="features", elasticNetParam=1.0, maxIter=max_iter)
     cv = CrossValidator(
         estimator=lr,
         estimatorParamMaps=[{lr.regParam: p} for p in penalties],
         evaluator=RegressionEvaluator(labelCol="__y", metricName="mse"),
-        numFolds=folds, seed=0, parallelism=2,
+        numFolds=folds, seed=0, parallelism=2, foldCol="__fold",
     )
     best = cv.fit(data).bestModel
     return _ranked(df.sparkSession, columns, [abs(v) for v in best.coefficients.toArray()])

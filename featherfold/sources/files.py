@@ -59,13 +59,35 @@ def gather_scores(spark: SparkSession, folder: str, key: str, models: Sequence[s
     return rows.groupBy(key).agg(*wide)
 
 
-def gather_csv_scores(spark: SparkSession, folder: str, key: str, models: Sequence[str], ending: str) -> DataFrame:
-    """The same over CSV folders named ``<model>_<ending>`` with columns (key, score)."""
+def score_models(spark: SparkSession, folder: str, ending: str, without: Sequence[str] = ()) -> list[str]:
+    """Sorted names of all models with a score file or folder ``<model>_<ending>`` in a folder, but those named."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in store.listStatus(path)]
+    tail = f"_{ending}"
+    return sorted(n[: -len(tail)] for n in found if n.endswith(tail) and n[: -len(tail)] not in set(without))
+
+
+def gather_csv_scores(
+    spark: SparkSession, folder: str, key: str, models: Sequence[str] | None = None, ending: str = "oof.csv", without: Sequence[str] = ()
+) -> DataFrame:
+    """All models' CSV score folders ``<model>_<ending>`` of columns (key, score) as one row per id.
+
+    Without ``models`` every such folder is taken but those of ``without``.  An id with two scores
+    of one model raises an error when the result is read.
+    """
+    models = list(models) if models is not None else score_models(spark, folder, ending, without)
     paths = [f"{folder}/{m}_{ending}" for m in models]
     rows = spark.read.option("header", True).schema(f"{key} bigint, score double").csv(paths)
-    name = F.regexp_extract(F.input_file_name(), rf"/([^/]+)_{ending}/[^/]*$", 1)
-    rows = rows.withColumn("__model", name)
-    wide = [F.max(F.when(F.col("__model") == m, F.col("score"))).alias(m) for m in models]
+    # the name of the file's folder, or of the file where the scores are one plain file
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    names = F.array(F.element_at(parts, -2), F.element_at(parts, -1))
+    rows = rows.withColumn("__model", F.element_at(F.filter(names, lambda n: n.endswith(f"_{ending}")), 1))
+    wide = []
+    for m in models:
+        own = F.col("__model") == f"{m}_{ending}"
+        twice = F.raise_error(F.lit(f"an id has more than one score of {m}"))
+        wide.append(F.when(F.count_if(own) > 1, twice).otherwise(F.max(F.when(own, F.col("score")))).alias(m))
     return rows.groupBy(key).agg(*wide)
 
 

@@ -9,7 +9,7 @@ from featherfold.models.blending import best_weights, blend, penalty_sweep, weig
 from featherfold.models.metrics import auc_value, fold_metrics
 from featherfold.models.neighbours import nearest
 from featherfold.models.training import (
-    OutOfFold, assemble, boosted_trees, class_weights, hold_out, logistic, pipeline, random_forest, random_maps, search,
+    OutOfFold, assemble, boosted_trees, class_weights, grid, hold_out, logistic, pipeline, random_forest, random_maps, search,
     search_table, with_fold,
 )
 from featherfold.operators.screen import (
@@ -172,3 +172,38 @@ def test_nearest_from_other_folds_only(spark):
     for i in range(len(x)):
         d = sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in range(len(x)) if fold[j] != fold[i])
         assert sorted(got.loc[got["query"] == i, "neighbour"]) == sorted(j for _, j in d[:4])
+
+
+def test_store_keeps_runs_apart_and_reads_finished_folds(df, tmp_path):
+    data = assemble(df, ["signal", "noise"])
+    forest = random_forest("y", numTrees=5)
+    OutOfFold(forest, "id", "y", "RF", folds=5, store=str(tmp_path)).run(data)
+    three = OutOfFold(forest, "id", "y", "RF", folds=3, store=str(tmp_path)).run(data)
+    assert three.fitted == [0, 1, 2] and three.oof.count() == 600
+    other = OutOfFold(random_forest("y", numTrees=6), "id", "y", "RF", folds=3, store=str(tmp_path)).run(data)
+    assert other.fitted == [0, 1, 2]
+    fewer = OutOfFold(forest, "id", "y", "RF", folds=3, store=str(tmp_path)).run(data.where("id < 500"))
+    assert fewer.fitted == [0, 1, 2] and fewer.oof.count() == 500
+    again = OutOfFold(forest, "id", "y", "RF", folds=3, store=str(tmp_path)).run(data)
+    assert again.fitted == []
+    assert sorted(map(tuple, again.importances(["signal", "noise"]).collect())) == sorted(map(tuple, three.importances(["signal", "noise"]).collect()))
+    assert {r["fold"] for r in again.metrics().collect()} == {"0", "1", "2", "overall"}
+
+
+def test_early_stopping_uses_the_own_fold(df):
+    data = assemble(df, ["noise"])
+    gbt = boosted_trees("y", maxIter=40, maxDepth=5, validationTol=0.01)
+    run = OutOfFold(gbt, "id", "y", folds=2, early_stopping=True).run(data)
+    assert run.oof.count() == 600 and all(m.stages[-1].getNumTrees < 40 for m in run.models.values())
+    with pytest.raises(ValueError):
+        OutOfFold(logistic("y"), "id", "y", early_stopping=True)
+
+
+def test_search_folds_do_not_change_with_partitions(df):
+    data = assemble(df, ["signal", "noise"])
+    lr = logistic("y")
+    maps = grid({lr.regParam: [0.0, 0.5]})
+    a, b = (search(lr, maps, data.repartition(n), "y", key="id").avgMetrics for n in (1, 7))
+    assert a == pytest.approx(b, abs=1e-6)
+    with pytest.raises(ValueError):
+        search(lr, maps, data, "y")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from featherfold.operators.clean import (
-    LabelEncoder, OneHotEncoder, Standardizer, align_columns, columns_like, normalise_types, recode_flags,
+    LabelEncoder, OneHotEncoder, Standardizer, align_columns, columns_like, distinct_texts, normalise_types,
+    recode_flags,
 )
 from featherfold.operators.combine import (
     common_names, join_scores, left_join_suffixed, minus_names, stack_splits, union_names, with_borrowed_columns,
@@ -15,7 +16,7 @@ from featherfold.operators.outliers import extreme_values, negative_flag_rate, o
 from featherfold.operators.profile import (
     describe, histogram, mostly_null_columns, null_ratios, single_value_columns, two_value_columns, useless_columns,
 )
-from featherfold.sources.files import load_names, read_csv, save_names, write_csv
+from featherfold.sources.files import gather_csv_scores, load_names, read_csv, save_names, write_csv
 
 SF = "/root/testdata/sf0.001"
 
@@ -139,3 +140,20 @@ def test_feature_build_keeps_parents_and_drops_useless(spark):
     assert a.columns == b.columns and "CONST" not in a.columns and {"SK_ID_CURR", "TARGET"} <= set(a.columns)
     assert a.count() == train.count() and b.count() == test.count()
     assert a.select("SK_ID_CURR").distinct().count() == train.count() and len(a.columns) > 500
+
+
+def test_csv_scores_are_found_and_doubles_refused(spark, tmp_path):
+    scores = spark.createDataFrame([(1, 0.1), (2, 0.2)], "id bigint, score double")
+    for m in ("A", "B", "OLD"):
+        write_csv(scores, f"{tmp_path}/{m}_oof.csv")
+    found = gather_csv_scores(spark, str(tmp_path), "id", ending="oof.csv", without=["OLD"])
+    assert found.columns == ["id", "A", "B"] and sorted(map(tuple, found.collect())) == [(1, 0.1, 0.1), (2, 0.2, 0.2)]
+    write_csv(scores.union(scores.limit(1)), f"{tmp_path}/B_oof.csv")
+    with pytest.raises(Exception, match="more than one score"):
+        gather_csv_scores(spark, str(tmp_path), "id", ["B"]).collect()
+
+
+def test_values_of_wide_columns_are_not_gathered(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("wide"), F.when(F.col("id") % 2 == 0, "a").alias("two"))
+    assert distinct_texts(df, ["wide", "two"], 3) == {"wide": [None] * 4, "two": ["a", None]}
+    assert len(distinct_texts(df, ["wide"], None)["wide"]) == 500
