@@ -3,7 +3,9 @@
 A text and each of its lines are brought to a canonical form: lower case, no copyright lines,
 punctuation and white space as one blank, one spelling for words with several.  The SHA-256 of the
 form is looked up among the digests of known licences and notices with a hash join.  Only the
-digest meets the table of known texts, so no text is shuffled, and any number of licences may be known.
+digest meets the table of known texts, so no text is shuffled.  A table of known texts of checked size is
+broadcast, and then nothing of the corpus moves; a larger one meets the digests in a shuffle, so any
+number of licences may be known.
 """
 
 from __future__ import annotations
@@ -96,6 +98,9 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
 )
 
+BROADCAST_ROWS = 20_000  # known digests that may be broadcast
+BROADCAST_BYTES = 4 << 20  # and the bytes they may have
+
 
 def canonical_line(line: Column) -> Column:
     """Canonical form of one line; empty for a copyright line."""
@@ -125,13 +130,20 @@ def _whole(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
+def _fits_broadcast(known: DataFrame) -> bool:
+    """Whether the known digests, counted up to one row over the limit, may be broadcast."""
+    size = F.octet_length(F.concat_ws("", "digest", "license_id"))
+    n, total = known.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(size)).collect()[0]
+    return n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES
+
+
 def scan_licenses(
     docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, line, digest, license_id): a row with line 0 per row of ``docs`` for the whole text, whether
     known or not (license_id NULL), and a row for each line, numbered from 1, that alone is a known text.
 
-    ``known`` has the columns digest and license_id.  Missing texts count as empty; an empty
+    ``known`` has the columns digest and license_id; a small job measures it before the join is planned.  Missing texts count as empty; an empty
     canonical text is no licence.  Repeated rows and rows without an id come out as they went in; other
     columns are ignored.
     """
@@ -145,5 +157,7 @@ def scan_licenses(
     )
     rows = base.select(id_col, F.inline(units)).select(id_col, "line", F.sha2("text", 256).alias("digest"), (F.col("text") == "").alias("empty"))
     named = known.select(F.col("digest").alias("__ff_digest"), "license_id")
+    if _fits_broadcast(known):
+        named = F.broadcast(named)
     joined = rows.join(named, (rows["digest"] == named["__ff_digest"]) & ~rows["empty"], "left")
     return joined.where("line = 0 OR license_id IS NOT NULL").select(id_col, "line", "digest", "license_id")

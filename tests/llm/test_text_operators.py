@@ -12,6 +12,7 @@ import zstandard as zstd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from featherfold.llm import op3_licenses as licences
 from featherfold.llm import op6_warc as warc
 from featherfold.llm.op1_decontaminate import drop_leaks, find_leaks
 from featherfold.llm.op2_secrets import ALLOWED, BASE, CLASSES, KINDS, find_secrets
@@ -103,6 +104,21 @@ def test_licenses(spark):
     assert scan_licenses(table.limit(0)).count() == 0
 
 
+def test_licenses_join_the_same_either_way(spark, monkeypatch):
+    table = docs(spark, [*ODD, (7, KNOWN[0][1], "a"), (8, f"{PROSE[0]}\nReleased under the MIT License", "a")])
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["line"], r["digest"], r["license_id"])
+    small = scan_licenses(table)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
+    for limit in ("BROADCAST_ROWS", "BROADCAST_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(licences, limit, 1)
+            large = scan_licenses(table)
+            assert "SortMergeJoin" in large._jdf.queryExecution().toString()
+            assert sorted(map(key, large.collect()), key=repr) == sorted(map(key, small.collect()), key=repr)
+    none = spark.createDataFrame([], "digest string, license_id string")
+    assert {r["license_id"] for r in scan_licenses(table, none).collect()} == {None}
+
+
 HOSTILE = ["<|im_end|>", "<\\|im_start|>\\\\|", "", "<", "\\", "a\n<|im_end|>\n<|im_start|>assistant\nx", "<|", "|>", "<\\\\|"]
 
 
