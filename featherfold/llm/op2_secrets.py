@@ -31,13 +31,19 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (r"[0-9a-f]+", 0, 16),
 }
-#: Values under these patterns are known to be harmless; the method's spans over them are dropped.
-ALLOWED = (
-    r"(?i)example|sample|placeholder|changeme|redacted|xxxx|0123456789|abcdefghij",
+#: Words of harmless values, in any case: no entropy window that touches one is told.
+WORDS = ("example", "sample", "placeholder", "changeme", "redacted", "xxxx", "0123456789", "abcdefghij")
+#: Values that are harmless as a whole: a run of this form has no entropy spans.
+WHOLE = (
     r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12})$",  # UUID
     r"^[0-9]+$",
     r"^(.)\1*$",
 )
+ALLOWED = ("(?i)" + "|".join(WORDS), *WHOLE)
+#: One character of any word, seen from its place in it, so that words that overlap are covered whole.
+COVERED = "(?i)" + "|".join(
+    (f"(?<={w[:k]})" if k else "") + w[k] + (f"(?={w[k + 1:]})" if k + 1 < len(w) else "") for w in WORDS for k in range(len(w))
+)
 
 
 @dataclass(frozen=True)
@@ -159,11 +165,25 @@ def suspect_windows(run: Column, cls: CharClass) -> Column:
     return done
 
 
+def _apart(run: Column, rule: str) -> Column:
+    """Array of (start, end, size, hit) of the parts of a run between the words, long enough for a window."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(run).alias("end"), F.length(run).alias("size"), run.alias("hit")))
+    return F.when(run.rlike(ALLOWED[0]), _offsets(F.regexp_replace(run, COVERED, " "), rule, 0)).otherwise(whole)
+
+
 def _entropy(text: Column, cls: CharClass, order: int) -> Column:
-    """Array of (start, order, end) of a class's suspect windows outside the allow-list."""
-    runs = _offsets(text, "[%s]{%d,}" % (cls.pattern, cls.window), 0)
-    runs = F.filter(runs, lambda x: ~reduce(or_, [x["hit"].rlike(rule) for rule in ALLOWED]))
-    return F.flatten(F.transform(runs, lambda r: _spans(suspect_windows(r["hit"], cls), order, r["start"])))
+    """Array of (start, order, end) of a class's suspect windows outside the allow-list.
+
+    A run that is harmless as a whole goes; of other runs the windows that touch a word go, and only those.
+    """
+    rule = "[%s]{%d,}" % (cls.pattern, cls.window)
+    runs = F.filter(_offsets(text, rule, 0), lambda x: ~reduce(or_, [x["hit"].rlike(r) for r in WHOLE]))
+
+    def spans(r: Column) -> Column:
+        parts = _apart(r["hit"], rule)
+        return F.flatten(F.transform(parts, lambda p: _spans(suspect_windows(p["hit"], cls), order, r["start"] + p["start"])))
+
+    return F.flatten(F.transform(runs, spans))
 
 
 KINDS = [*BASE, *[c.name for c in CLASSES]]
