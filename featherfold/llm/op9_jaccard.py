@@ -382,48 +382,69 @@ def _promising(placed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 
 def _walk(placed: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between class representatives, a star per component and block.
+    """Links (a, b) between nodes of classes, a star per component and block.
 
     ``placed`` is (block string, mark).  A representative's text goes to all its blocks as a set.
     """
-    wanted = placed.join(reps.select("mark", "rep", "text_key"), "mark").select("block", "rep", "text_key")
+    wanted = placed.join(reps.select("mark", "rep", "text_key"), "mark").select("block", "mark", "rep", "text_key")
     wanted = materialize(wanted, "jaccard-placed")
-    ids = wanted.select(F.col("rep").alias("id")).distinct()
+    # a row without an id is told by its text
+    ids = wanted.select(F.coalesce("rep", F.xxhash64("text_key")).alias("told")).distinct()
     # other texts need not travel: by a broadcast where the ids are few, else by a shuffle
-    docs = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
-    texts = docs.join(wanted, (docs["id"] == wanted["rep"]) & (docs["text_key"] == wanted["text_key"]))
+    docs = docs.withColumn("told", F.coalesce("id", F.xxhash64("text_key")))
+    docs = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "told", "left_semi")
+    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["rep"]) & (docs["text_key"] == wanted["text_key"]))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, before, arr, done = WordHashes(), None, None, set()
         for batch in rows_of(batches, 128):
-            blocks, ids, out = [], [], []
-            for block, rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))):
+            blocks, ids, marks, out = [], [], [], []
+            for block, rep, mark, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strings(batch.column(3))):
                 if (rep, text) != before:  # one text's blocks follow each other
                     before, arr, done = (rep, text), shingle_set(text, n, hashes).view(np.int64), set()
                 if block not in done:  # a repeated row goes once
                     done.add(block)
                     blocks.append(block)
                     ids.append(rep)
+                    marks.append(mark)
                     out.append(arr)
             if out:
                 ends = np.concatenate([[0], np.cumsum([len(a) for a in out])]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks, pa.string()), pa.array(ids, pa.int64()), tokens], names=["block", "rep", "tokens"]
+                    [pa.array(blocks, pa.string()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), tokens],
+                    names=["block", "rep", "mark", "tokens"],
                 )
 
     def join(rows: list[tuple]) -> list[tuple]:
-        members = sorted({(rep, tuple(tokens)) for _, rep, tokens in rows})  # repeats count once
-        ids = [i for i, _ in members]
-        roots = tree_join([t for _, t in members], percent)
-        return [(i, ids[r]) for i, r in zip(ids, roots) if ids[r] != i]
+        members = list({mark: (rep, mark, tokens) for _, rep, mark, tokens in sorted(rows, key=lambda r: r[2])}.values())  # repeats count once
+        roots = tree_join([t for _, _, t in members], percent)
+        return [(*members[i][:2], *members[r][:2]) for i, r in enumerate(roots) if r != i]
 
-    made = texts.select("block", "rep", "text").mapInArrow(sets, "block string, rep long, tokens array<long>")
-    return by_block(made, join, "a long, b long")
+    made = texts.select("block", "rep", "mark", "text").mapInArrow(sets, "block string, rep long, mark long, tokens array<long>")
+    found = by_block(made, join, "rep_a long, a long, rep_b long, b long")
+    return found.select(_node("rep_a", "a").alias("a"), _node("rep_b", "b").alias("b"))
+
+
+def _node(rep: str, mark: str) -> Column:
+    """Node of a class: those with an id first, by their smallest, so that a component's least node has its smallest id."""
+    return F.struct(F.col(rep).isNull().alias("none"), F.coalesce(rep, F.lit(0).cast("long")).alias("id"), F.col(mark).alias("mark"))
+
+
+def _same_id(profile: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) of classes that hold texts of one id: each with a node of the id."""
+    mine = profile.where("n > 0 AND id IS NOT NULL").select("id", _mark().alias("mark"))
+    several = mine.groupBy("id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("id")
+    held = mine.join(several, "id").distinct().join(reps.select("mark", "rep"), "mark").withColumn("zero", F.lit(0).cast("long"))
+    return held.select(_node("rep", "mark").alias("a"), _node("id", "zero").alias("b"))
+
+
+def _mark() -> Column:
+    return F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for links (a, b): the least node that links reach, by alternating stars.
+    """(node, component) for links (a, b) of any ordered type: the least node that links reach, by alternating stars.
 
     Nodes without links are absent.  Rounds grow with the logarithm of the longest chain.
     """
@@ -456,17 +477,21 @@ def jaccard_components(
     ``100 * intersection >= percent * union`` of their shingle sets.  ``component_id`` is the
     smallest id that links reach.  Missing and empty texts have an empty set, link with
     nothing and are their own component.  Repeated rows link as equal sets; rows with one id and
-    different texts count as one document with the links of both.  A row without an id has the
-    component of the rows with its set that have one, else none (NULL).
+    different texts count as one document with the links of both.  Rows without an id link as all
+    others; a component that no row with an id is in has no id (NULL).
     """
+    return _grouped(docs, n, percent, id_col, text_col, block_size).select("id", "text_key", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block_size: int = 256) -> DataFrame:
+    """The rows of :func:`jaccard_components`, with the least node of the component as ``group``; NULL for empty sets."""
     docs = docs.select(
         F.col(id_col).cast("long").alias("id"), F.md5(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text")
     )
     profile, counts = _profile(docs.select("id", "text_key", "text"), n)
-    mark = F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("long")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
-    reps = profile.where("n > 0 AND id IS NOT NULL").groupBy("class").agg(least, F.first("n").alias("n"))
-    reps = materialize(reps.select("class", mark.alias("mark"), F.col("first.id").alias("rep"), F.col("first.text_key").alias("text_key"), "n"), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
+    reps = profile.where("n > 0").groupBy("class").agg(first, F.first("n").alias("n"))
+    reps = materialize(reps.select("class", _mark().alias("mark"), F.col("first.id").alias("rep"), F.col("first.text_key").alias("text_key"), "n"), "classes")
 
     rows = materialize(_prefixes(docs, n, percent, counts), "prefixes")
     members, held = _members(rows, reps, block_size)
@@ -474,12 +499,12 @@ def jaccard_components(
     spread = F.when(F.col("hub") == F.col("mark"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     placed = members.withColumn("chunk", F.explode(spread))
     placed = _promising(placed.select(F.concat_ws(":", "hub", "chunk").alias("block"), "mark", "n", "common"), held, percent)
-    links = materialize(_walk(placed, reps, docs, n, percent), "links")
+    links = materialize(_walk(placed, reps, docs, n, percent).union(_same_id(profile, reps)), "links")
     found = materialize(components(links), "components")
 
-    split = members.where("chunks > 1").join(reps.select("mark", "rep"), "mark")
-    split = split.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    split = split.select("hub", "mark", "n", "common", "chunks", F.coalesce("component", "rep").alias("component"))
+    split = members.where("chunks > 1").join(reps.select("mark", _node("rep", "mark").alias("node")), "mark")
+    split = split.join(found, "node", "left")
+    split = split.select("hub", "mark", "n", "common", "chunks", F.coalesce("component", "node").alias("component"))
     parts = split.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = main.where("most < all").select("hub", "main", F.ceil((F.col("all") - F.col("most")) / F.lit(block_size)).cast("int").alias("strays"))
@@ -494,10 +519,11 @@ def jaccard_components(
         more = _walk(_promising(placed, held, percent), reps, docs, n, percent)
         found = components(links.union(more))
 
-    by_class = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select("class", F.coalesce("component", "rep").alias("component"))
+    by_class = reps.select("class", _node("rep", "mark").alias("node")).join(found, "node", "left")
+    by_class = by_class.select("class", F.coalesce("component", "node").alias("group"))
+    least = F.when(F.col("group").isNull(), F.col("id")).when(~F.col("group.none"), F.col("group.id"))
     return profile.join(by_class, "class", "left").select(
-        F.col("id"), "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+        F.col("id"), "text_key", F.col("n").alias("n_shingles"), least.alias("component_id"), "group"
     )
 
 
@@ -505,12 +531,12 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     """The rows of ``docs`` less all but one of each group of near copies: the one with the smallest id.
 
     Documents without words stay.  Of repeated rows (same id and text) one stays; of rows
-    with one id and different texts in one group, the one whose text has the smallest digest.
+    with one id and different texts in one group, the one whose text has the smallest digest; so
+    too of a group that has no id.
     """
     key = F.md5(text_of(text_col))
-    found = jaccard_components(docs, n, percent, id_col, text_col)
-    alone = F.when(F.col("component_id").isNull(), F.col("text_key"))
-    first = found.where("n_shingles > 0").groupBy("component_id", alone.alias("alone"))
+    found = _grouped(docs, n, percent, id_col, text_col)
+    first = found.where("n_shingles > 0").groupBy("group")
     first = first.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("f"))
     stay = first.select(F.col("f.id").alias("__ff_id"), F.col("f.text_key").alias("__ff_key"))
     empty = found.where("n_shingles = 0").select(F.col("id").alias("__ff_id"), F.col("text_key").alias("__ff_key"))

@@ -1,12 +1,16 @@
-"""What the second advice found: keys beside harmless words."""
+"""What the second advice found: keys beside harmless words, near copies without an id."""
 
 import collections
+import hashlib
 import math
 import random
 import re
 
+import pytest
+
 from featherfold.llm.op2_secrets import ALLOWED, CLASSES, KINDS, WHOLE, WORDS, find_secrets
-from test_text_operators import docs
+from featherfold.llm.op9_jaccard import WordHashes, jaccard_components, keep_one, linked, shingle_set
+from test_text_operators import PROSE, docs
 
 
 def brute_entropy(text):
@@ -53,3 +57,44 @@ def test_secrets_beside_words(spark):
         a = texts[i].index(key)
         assert any(s <= a and a + 40 <= e for s, k, e in got[i] if KINDS[k] == "entropy_base64"), i
     assert sum(e - s for s, _, e in got[33]) > 29000 and not got[35] and not got[38]
+
+
+def brute_groups(rows, n, percent):
+    """Group number of each row: rows with one id or similar sets, rows without an id too."""
+    hashes = WordHashes()
+    sets = [set(shingle_set(t, n, hashes).tolist()) for _, t in rows]
+    group, changed = list(range(len(rows))), True
+    while changed:
+        changed = False
+        for a, (i, _) in enumerate(rows):
+            for b, (j, _) in enumerate(rows):
+                near = linked(len(sets[a] & sets[b]), len(sets[a]), len(sets[b]), percent) or i is not None and i == j
+                if near and group[a] > group[b]:
+                    group[a], changed = group[b], True
+    return group
+
+
+@pytest.mark.parametrize("block_size", [2, 256])
+def test_jaccard_rows_without_an_id(spark, block_size):
+    words = PROSE[4].split() + PROSE[5].split()
+
+    def text(*changed):
+        return " ".join(f"new{k}" if k in changed else w for k, w in enumerate(words))
+
+    rows = [(None, PROSE[0] + " end"), (None, PROSE[0] + " fin"), (None, PROSE[0] + " fin"), (None, PROSE[1])]  # no id at all
+    rows += [(40, text(3)), (None, text(3, 50)), (41, text(50, 51))]  # a chain over a row without an id
+    rows += [(9, PROSE[2]), (9, PROSE[3]), (4, PROSE[2]), (5, PROSE[3])]  # an id that stands for neither of its texts
+    rows += [(70, PROSE[6]), (None, PROSE[6] + " more")]
+    rows += [(None, " ".join(PROSE[7].split()[k % 3 :])) for k in range(9)]
+    found = brute_groups(rows, 4, 85)
+    least = {g: min((i for k, (i, _) in zip(found, rows) if k == g and i is not None), default=None) for g in found}
+    got = jaccard_components(docs(spark, [(i, t, "a") for i, t in rows]), 4, 85, block_size=block_size).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    want = [(i, hashlib.md5(t.encode()).hexdigest(), least[g]) for (i, t), g in zip(rows, found)]
+    assert sorted([(r["id"], r["text_key"], r["component_id"]) for r in got], key=key) == sorted(want, key=key)
+    kept = keep_one(docs(spark, [(i, t, "a") for i, t in rows]), 4, 85).collect()
+    first = {}
+    for (i, t), g in zip(rows, found):
+        digest = hashlib.md5(t.encode()).hexdigest()
+        first[g] = min(first.get(g, (True, 1 << 60, "~", "")), (i is None, i or 0, digest, t))
+    assert sorted(r["text"] for r in kept) == sorted(f[3] for f in first.values()) and len(first) == 6
