@@ -1,7 +1,7 @@
 """Benchmark decontamination: a BM25 index of test items, searched with block-max WAND by every passage.
 
 Items are the indexed side, training text the queries.  Texts are cut into passages of ``2 * stride``
-words, a new one every ``stride`` words, with a stride no shorter than the longest item, so each copy
+words, a new one every ``stride`` words, with a stride no shorter than the items of the index, so each copy
 of an item lies in one passage whole.  Scores are BM25 divided by the item's score for itself: 1 means
 that the passage has all of the item's words.  All items at ``threshold`` or more are retrieved.
 
@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows_of, strings, text_of
 
-TOKEN = re.compile(r"\w+")
+#: Scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Kana, Han): each character is a token.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U000323af"
+TOKEN = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.7  # least share of word pairs, of the question and of the answer
 STRIDE = 64
-LEAST_WORDS = 5  # of an item: shorter ones say nothing and are not looked for
+LEAST_WORDS = 5  # of a scored item: shorter ones are found by a run of all their words
 INDEX_WORDS = 500_000  # of items per broadcast index
 BLOCKS = 64  # most blocks of items per index
 
@@ -66,6 +68,7 @@ class Index:
     bound: list[float] = field(default_factory=list)
     blocks: np.ndarray | None = None  # term x block
     width: int = 1
+    short: dict[tuple[str, ...], list[int]] = field(default_factory=dict)  # words of a short item to its places
 
     @staticmethod
     def build(items: list[Item], frequency: dict[str, int], n_items: int, mean_length: float, stride: int) -> "Index":
@@ -73,6 +76,9 @@ class Index:
         index.width = max(1, -(-len(items) // BLOCKS))
         for d, item in enumerate(items):
             words = item.question + item.answer
+            if len(words) < LEAST_WORDS:
+                index.short.setdefault(tuple(words), []).append(d)
+                continue
             norm = K1 * (1 - B + B * len(words) / mean_length)
             weights = {}
             for w in dict.fromkeys(words):
@@ -154,7 +160,13 @@ def search(index: Index, texts: list[str], threshold: float, overlap: float) ->
         known.append(ids[at])
         places.append(at // stride + segments[-1])
         segments.append(segments[-1] + max(1, -(-len(words) // stride)))
+    runs: list[set[int]] = [set() for _ in texts]
+    for width in sorted({len(k) for k in index.short}):
+        for d, words in enumerate(words_of):
+            for gram in index.short.keys() & set(zip(*(words[k:] for k in range(width)))):
+                runs[d].update(index.short[gram])
     if not sum(map(len, known)):
+        yield from ((d, i, 1.0, 1.0, 1.0) for d, found in enumerate(runs) for i in sorted(found))
         return
     keys = np.unique(np.concatenate(places) * n_terms + np.concatenate(known))  # each term once per segment
     where, term = keys // n_terms, keys % n_terms
@@ -168,9 +180,7 @@ def search(index: Index, texts: list[str], threshold: float, overlap: float) ->
         own = sums[first:after]
         bound = own[:-1] + own[1:] if len(own) > 1 else own  # a passage is two segments
         rows, cols = np.nonzero(bound >= threshold - 1e-4)
-        if not len(rows):
-            continue
-        best: dict[int, tuple[float, float, float]] = {}
+        best: dict[int, tuple[float, float, float]] = {i: (1.0, 1.0, 1.0) for i in runs[d]}
         for p in np.unique(rows).tolist():
             terms = set()
             for s in (first + p, first + p + 1):
@@ -199,8 +209,8 @@ def build_indexes(
     """Indexes over all items, each over at most about ``index_words`` words.
 
     Without an answer column the last third of the item's words, at least one, is the answer.
-    Items of fewer than ``LEAST_WORDS`` words, missing and empty ones too, are not looked for.
-    Repeated items are items of their own.
+    Items of fewer than ``LEAST_WORDS`` words are found by a run of all their words; missing and empty
+    ones are not looked for.  Repeated items are items of their own.
     """
     text = text_of(question_col)
     answer = text_of(answer_col) if answer_col else F.lit(None).cast("string")
@@ -222,21 +232,22 @@ def build_indexes(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(questions, kind), pa.array(answers, kind)], names=["item_id", "question", "answer"])
 
     items = materialize(rows.mapInArrow(cut, "item_id long, question array<string>, answer array<string>"), "items")
-    items = items.select("*", F.concat("question", "answer").alias("words")).where(F.size("words") >= LEAST_WORDS)
-    n, total, longest = items.agg(F.count(F.lit(1)), F.sum(F.size("words")), F.max(F.size("words"))).first()
-    if not n:
-        return
-    stride = max(STRIDE, longest)
-    parts = -(-total // index_words)
-    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)))
-    counts = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    for part in range(parts):
-        mine = items.where(F.col("part") == part)
-        rows = sorted((r["item_id"] is not None, r["item_id"] or 0, r["question"], r["answer"]) for r in mine.collect())
-        words = mine.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
-        frequency = {r["word"]: r["n"] for r in counts.join(words, "word", "left_semi").collect()}
-        built = [Item(i if has else None, q, a) for has, i, q, a in rows]
-        yield Index.build(built, frequency, n, total / n, stride)
+    items = items.select("*", F.concat("question", "answer").alias("words")).where(F.size("words") > 0)
+    longest = items.agg(F.max(F.size("words"))).first()[0]
+    items = items.withColumn("stride", F.lit(max(STRIDE, longest or 0)))
+    scored = items.where(F.size("words") >= LEAST_WORDS)
+    n, total = scored.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    counts = scored.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    strides = items.groupBy("stride").agg(F.sum(F.size("words"))).collect()  # as many as doublings to the longest
+    for stride, size in sorted(tuple(r) for r in strides):
+        parts = -(-size // index_words)
+        for part in range(parts):
+            mine = items.where((F.col("stride") == stride) & (F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)) == part))
+            rows = sorted((r["item_id"] is not None, r["item_id"] or 0, r["question"], r["answer"]) for r in mine.collect())
+            words = mine.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
+            frequency = {r["word"]: r["n"] for r in counts.join(words, "word", "left_semi").collect()}
+            built = [Item(i if has else None, q, a) for has, i, q, a in rows]
+            yield Index.build(built, frequency, n, total / max(n, 1), stride)
 
 
 def find_leaks(

@@ -1,4 +1,4 @@
-"""What the second advice found: keys beside harmless words, near copies without an id."""
+"""What the second advice found: short and unspaced items, passages of one length class, keys beside harmless words, near copies without an id."""
 
 import collections
 import hashlib
@@ -8,6 +8,7 @@ import re
 
 import pytest
 
+from featherfold.llm.op1_decontaminate import drop_leaks, find_leaks, tokens
 from featherfold.llm.op2_secrets import ALLOWED, CLASSES, KINDS, WHOLE, WORDS, find_secrets
 from featherfold.llm.op9_jaccard import WordHashes, jaccard_components, keep_one, linked, shingle_set
 from test_text_operators import PROSE, docs
@@ -98,3 +99,20 @@ def test_jaccard_rows_without_an_id(spark, block_size):
         digest = hashlib.md5(t.encode()).hexdigest()
         first[g] = min(first.get(g, (True, 1 << 60, "~", "")), (i is None, i or 0, digest, t))
     assert sorted(r["text"] for r in kept) == sorted(f[3] for f in first.values()) and len(first) == 6
+
+
+def leaks(table, bench):
+    return sorted((r["id"], r["item_id"]) for r in find_leaks(table, bench).collect())
+
+
+def test_leaks_of_short_and_unspaced_items(spark):
+    assert tokens("Über_1 日本語 ไทย カナ한국") == ["über_1", "日", "本", "語", "ไ", "ท", "ย", "カ", "ナ", "한국"]
+    han = "今天天气很好我们一起去公园散步看花"
+    bench = spark.createDataFrame([(1, han), (2, "Forty, two zebras"), (3, None), (4, "zebras"), (5, "?!")], "item_id long, text string")
+    table = docs(spark, [
+        (1, "前言" + han + "。结束", "a"), (2, f"{PROSE[1]} forty two ZEBRAS {PROSE[2]}", "a"), (3, f"forty {PROSE[1]} two", "a"),
+        (4, "今天我们看花", "a"), (5, None, "a"),
+    ])
+    assert leaks(table, bench) == [(1, 1), (2, 2), (2, 4)]
+    assert leaks(table, bench.where("item_id in (2, 3)")) == [(2, 2)]
+    assert sorted(r["doc_id"] for r in drop_leaks(table, bench).collect()) == [3, 4, 5]
