@@ -210,7 +210,8 @@ def build_indexes(
 
     Without an answer column the last third of the item's words, at least one, is the answer.
     Items of fewer than ``LEAST_WORDS`` words are found by a run of all their words; missing and empty
-    ones are not looked for.  Repeated items are items of their own.
+    ones are not looked for.  Items have the stride of their class of length (a doubling of ``STRIDE``), so the
+    passages for one item don't depend on the length of another.  Repeated items are items of their own.
     """
     text = text_of(question_col)
     answer = text_of(answer_col) if answer_col else F.lit(None).cast("string")
@@ -233,8 +234,8 @@ def build_indexes(
 
     items = materialize(rows.mapInArrow(cut, "item_id long, question array<string>, answer array<string>"), "items")
     items = items.select("*", F.concat("question", "answer").alias("words")).where(F.size("words") > 0)
-    longest = items.agg(F.max(F.size("words"))).first()[0]
-    items = items.withColumn("stride", F.lit(max(STRIDE, longest or 0)))
+    doublings = F.ceil(F.log2(F.size("words") / F.lit(STRIDE)))
+    items = items.withColumn("stride", (F.lit(STRIDE) * F.pow(F.lit(2), F.greatest(doublings, F.lit(0)))).cast("int"))
     scored = items.where(F.size("words") >= LEAST_WORDS)
     n, total = scored.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     counts = scored.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))

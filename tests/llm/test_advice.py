@@ -116,3 +116,13 @@ def test_leaks_of_short_and_unspaced_items(spark):
     assert leaks(table, bench) == [(1, 1), (2, 2), (2, 4)]
     assert leaks(table, bench.where("item_id in (2, 3)")) == [(2, 2)]
     assert sorted(r["doc_id"] for r in drop_leaks(table, bench).collect()) == [3, 4, 5]
+
+
+def test_leaks_of_one_item_do_not_depend_on_the_length_of_another(spark):
+    item = [f"q{k}" for k in range(15)]
+    pieces = [item[k : k + 3] for k in range(0, 15, 2)]  # all word pairs, 300 words apart
+    scattered = " ".join(" ".join([*p, *(f"f{k}x{j}" for j in range(300))]) for k, p in enumerate(pieces))
+    long_item = [f"long{k}" for k in range(5000)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long_item))], "item_id long, text string")
+    table = docs(spark, [(1, scattered, "a"), (2, f"{PROSE[1]} {' '.join(item)} {PROSE[2]}", "a"), (3, " ".join([*PROSE, *long_item, *PROSE]), "a")])
+    assert leaks(table, bench) == [(2, 1), (3, 2)]
