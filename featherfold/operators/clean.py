@@ -66,6 +66,10 @@ class LabelEncoder:
         return df.withColumns(out)
 
 
+#: Values of a column, each a column of the result, that are fetched unless the caller asks for them whole.
+MOST_VALUES = 10_000
+
+
 @dataclass(frozen=True)
 class OneHotEncoder:
     """Text value -> 0/1 column named ``<column>_<value>``; missing gives all zeros."""
@@ -73,8 +77,10 @@ class OneHotEncoder:
     values: Mapping[str, Sequence[str]]
 
     @staticmethod
-    def fit(df: DataFrame, columns: Sequence[str] | None = None, max_values: int | None = None) -> "OneHotEncoder":
-        """All values of each column; with ``max_values``, a column with more is an error."""
+    def fit(df: DataFrame, columns: Sequence[str] | None = None, max_values: int | None = MOST_VALUES) -> "OneHotEncoder":
+        """All values of each column.  Columns with more than ``max_values`` are an error that names them, found by a
+        sketch in Spark before values move; None asks for all values of any column on the driver.
+        """
         names = columns or text_columns(df)
         found = distinct_texts(df, names, None if max_values is None else max_values + 1)
         wide = [c for c, vs in found.items() if max_values is not None and len(vs) > max_values]
