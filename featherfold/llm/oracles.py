@@ -69,4 +69,103 @@ SELECT d.page_id, CAST(d.bytes AS BIGINT) AS payload_bytes, d.digest AS payload_
 FROM d LEFT JOIN g ON d.digest = g.digest AND d.strong = g.strong AND d.bytes >= 1000
 """
 
-ORACLE: dict[str, str] = {"op4_chat": OP4, "op6_warc": OP6, "op7_sharding": OP7, "op10_mixing": OP10}
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32 with the reversed polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+def _edit(state: str, cost: str, letter: str, put: str | None) -> str:
+    text = f"{state}.r || chr(10) || {put}" if put else f"{state}.r"
+    return f"{{'c': CAST({state}.c + {cost} AS BIGINT), 'a': {state}.a || '{letter}', 'r': {text}}}"
+
+
+def _least(*found: str) -> str:
+    return f"list_min([{', '.join(found)}])"
+
+
+def _insert(state: str, role: str) -> str:
+    return _edit(state, "5", "I", f"'{role}:'")
+
+
+FAR = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 'r': ''}"
+CLOSED = f"""SELECT * REPLACE ({_least("s3", _insert("s2", "assistant"))} AS s3) FROM (
+    SELECT * REPLACE ({_least("s2", *[_insert(s, "user") for s in ("s0", "s1", "s3")])} AS s2) FROM r)"""
+
+
+def _after(state: str, *more: str) -> str:
+    """The state after a row: deletion, or one of ``more`` where the row may stay."""
+    kept = _least(_edit(state, "2", "D", None), *more)
+    return f"CASE WHEN gone THEN {_edit(state, '2', 'D', None)} ELSE {kept} END AS {state}"
+
+
+def _keep(state: str, code: str) -> str:
+    return f"CASE WHEN code = '{code}' THEN {_edit(state, 'more', 'K', 'line')} END"
+
+
+def _rerole(state: str, role: str) -> str:
+    return _edit(state, "1 + more", "R", f"'{role}:' || text")
+
+
+OP13 = f"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()}::BIGINT[] AS places),
+c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+f AS (
+  SELECT c.*, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: xor(a >> 8, places[(xor(a, b) & 255) + 1]))) % 20 AS fault
+  FROM c, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM f WHERE fault <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+k AS (
+  SELECT *, substr(role, 1, 1) AS code, role || ':' || text AS line, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS kind
+  FROM n),
+x AS (SELECT *, kind IN ('blank', 'duplicate') AS gone, CASE WHEN kind = 'truncated' THEN 5 ELSE 0 END AS more FROM k),
+r AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': ''}} AS s0, {FAR} AS s1, {FAR} AS s2, {FAR} AS s3
+  FROM conversations
+  UNION ALL
+  SELECT q.conv_id, x.i, {_after("s0")}, {_after("s1", _keep("s0", "s"))},
+    {_after("s2", *[f(s, a) for s in ("s0", "s1", "s3") for f, a in ((_keep, "u"), (_rerole, "user"))])},
+    {_after("s3", _keep("s2", "a"), _rerole("s2", "assistant"))}
+  FROM ({CLOSED}) q JOIN x ON x.conv_id IS NOT DISTINCT FROM q.conv_id AND x.i = q.i + 1),
+e AS (
+  SELECT conv_id, {_least("s0", "s3")} AS best FROM ({CLOSED}) q QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE kind = 'blank') AS blank,
+    count(*) FILTER (WHERE kind = 'duplicate') AS duplicate, count(*) FILTER (WHERE kind = 'truncated') AS truncated,
+    count(*) FILTER (WHERE i > 1 AND previous || code NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM x GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(substr(best.r, 2)) AS repaired_sha256
+FROM e LEFT JOIN g ON e.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+#: The true nearest rows: the hashing misses one with a chance of some 1e-5 per neighbour at most.
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))
+    AND list_bool_or(list_transform(embedding, lambda c: c <> 0))),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op4_chat": OP4, "op6_warc": OP6, "op7_sharding": OP7, "op10_mixing": OP10, "op11_neighbours": OP11, "op13_repair": OP13}

@@ -18,6 +18,9 @@ from .op7_sharding import shards_of
 from .op8_lines import clean_lines
 from .op9_jaccard import jaccard_components
 from .op10_mixing import mix
+from .op11_neighbours import nearest
+from .op12_whitening import whiten
+from .op13_repair import damage, repair_conversations
 from .oracles import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -90,6 +93,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth, against all."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading 32 whitened components."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after damage that its rows' digests ask for."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair_conversations(damage(rows), rows.select("conv_id"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -101,6 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_secrets, op3_licenses, op4_chat, op5_quality, op6_warc, op7_sharding, op8_quality_rules,
-        op9_jaccard_join, op10_mixing, pipeline,
+        op9_jaccard_join, op10_mixing, op11_neighbours, op12_whitening, op13_repair, pipeline,
     )
 }
