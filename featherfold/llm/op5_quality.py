@@ -11,6 +11,7 @@ input of a score.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -248,7 +249,9 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
         if used[r["label"]] < how.rows:
             used[r["label"]] += 1
             chosen.add(r["id"])
-    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "id long")
+    # a literal, as a frame from a Python list would start Python workers of its own
+    kind = joined.schema["id"].dataType.simpleString()
+    ids = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(sorted(chosen))), f"array<{kind}>")).alias("id"))
     rows = joined.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     for r in sorted(rows.collect(), key=lambda r: r["id"]):
         found.append((r["text"].encode(), r["label"], counts[r["label"]] / used[r["label"]]))

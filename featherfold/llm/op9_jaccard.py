@@ -45,7 +45,7 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 class WordHashes(dict):
     """Word to 64-bit hash, remembered; forgets all when large."""
 
-    LIMIT = 200_000
+    LIMIT = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -228,7 +228,7 @@ def _profile(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         for batch in rows_of(batches):
             sets = [shingle_set(t, n, hashes) for t in strings(batch.column(2))]
             if sum(map(len, sets)):
-                np.add(counts, np.bincount(slot(np.concatenate(sets)), minlength=len(counts)), out=counts, casting="unsafe")
+                np.add.at(counts, slot(np.concatenate(sets)), 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -288,7 +288,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
                 mark = int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "big", signed=True)
                 if mark in seen:  # a copy of what this task has emitted
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < WordHashes.LIMIT:
                     seen.add(mark)
                 k = len(s) - needed(len(s), percent) + 1
                 weight = order[slot(s)]
