@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, in Spark functions.
 
-Each source's documents are shuffled by a digest of their id.  A document's virtual finish time is
+Each source's documents are shuffled by a digest of their id, text and, if these repeat, number.  A document's virtual finish time is
 the words of its source up to and including it, divided by the source's target; a second and third
 pass over a source follow its first.  Ordered by finish time, all sources reach their targets
 together, so the mix is the longest head of that order within the total budget.
@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def _queue(docs: DataFrame, weights: Sequence[float], share: float, repeats: int) -> DataFrame:
-    """(id, source, size, digest) with rank, source_size, target and ``upto``, the source's words up to the row."""
+    """(id, source, size, key, digest) with rank, source_size, target and ``upto``, the source's words up to the row."""
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(sizes, weights, share, repeats).withColumnRenamed("source", "s")
     ranged = docs.withColumn("range", F.substring("digest", 1, RANGES))
@@ -108,27 +108,23 @@ def _last(queue: DataFrame, budget: float) -> Row | None:
     return found
 
 
-def mix(
-    docs: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    share: float = 1.0,
-    repeats: int = REPEATS,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, copies, taken.
+def _steps(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(id, source, size, key, digest) per row: its place in the shuffle of its source.
 
-    ``size`` counts words; a missing text has none.  ``copies`` is how often the mix holds the
-    document, from 0 to ``repeats``, and ``taken`` its words, ``size * copies``.  A missing source
-    is a source of its own and comes last.  Documents without words are not taken (0 copies).
-    Repeated rows are documents of their own and all have the same copies.  Rows without an id are
-    shuffled as one with an empty id.  Other columns are ignored.  Runs small jobs to find the cut.
+    ``key`` is a digest of the text.  Rows that agree in id, source and text are counted first and then numbered, so
+    that each has a digest of its own: a hot id, or all rows without one, spread over all ranges.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_of(text_col)).alias("size"))
-    digest = F.md5(F.concat(F.lit("mix/"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    base = materialize(base.withColumn("digest", digest), "mix-sizes")
-    lined = materialize(_queue(base, weights, share, repeats), "mix-queue")
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text).alias("size"), F.md5(text).alias("key"))
+    rows = rows.groupBy("id", "source", "size", "key").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    name = F.concat_ws("/", F.lit("mix"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("key"), F.col("j").cast("string"))
+    return materialize(rows.select("id", "source", "size", "key", F.md5(name).alias("digest")), "mix-sizes")
+
+
+def _plan(steps: DataFrame, weights: Sequence[float], share: float, repeats: int) -> DataFrame:
+    """The rows of :func:`_steps` with source_size, target and copies."""
+    lined = materialize(_queue(steps, weights, share, repeats), "mix-queue")
     budget = lined.groupBy("rank").agg(F.first("target").alias("t")).agg(F.sum("t")).first()[0] or 0.0
 
     finish = lambda turn: (turn * F.col("source_size") + F.col("upto")) / F.col("target")
@@ -144,19 +140,51 @@ def mix(
         for turn in range(repeats):
             key = F.struct(finish(F.lit(turn)), F.col("rank"), F.lit(turn), F.col("digest"), F.col("id"), F.col("size"))
             copies = copies + F.when((F.col("size") > 0) & (key <= cut), 1).otherwise(0)
-    out = lined.select("id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return lined.select("id", "source", "size", "key", "source_size", "target", copies.alias("copies"))
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = 1.0,
+    repeats: int = REPEATS,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per row of ``docs``: id, source, size, source_size, target, copies, taken.
+
+    ``size`` counts words; a missing text has none.  ``copies`` is how often the mix holds the
+    document, from 0 to ``repeats``, and ``taken`` its words, ``size * copies``.  A missing source
+    is a source of its own and comes last.  Documents without words are not taken (0 copies).
+    Repeated rows, rows of one id and rows without an id are documents of their own, each with a place of its
+    own in the shuffle; of equal rows it is only told how many have how many copies.  Other columns are ignored; an
+    empty table gives no rows.  Runs small jobs to find the cut.
+    """
+    plan = _plan(_steps(docs, id_col, source_col, text_col), weights, share, repeats)
+    out = plan.select("id", "source", "size", "source_size", "target", "copies")
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, repeats: int = REPEATS) -> DataFrame:
-    """The rows of ``docs`` (doc_id, source, text and others), each as often as the mix holds it."""
-    plan = mix(docs, weights, share, repeats).where("copies > 0")
-    plan = plan.select(F.col("id").alias("__ff_id"), F.col("source").alias("__ff_source"), F.col("size").alias("__ff_size"), F.col("copies").alias("__ff_copies")).distinct()
+    """The rows of ``docs`` (doc_id, source, text and others), each as often as the mix holds it.
+
+    Rows that agree in id, source and text count as one document that is there several times: all its copies
+    have the other columns of the least such row.
+    """
+    plan = _plan(_steps(docs, "doc_id", "source", "text"), weights, share, repeats)
+    plan = plan.groupBy(F.col("id").alias("__ff_id"), F.col("source").alias("__ff_source"), F.col("key").alias("__ff_key"))
+    plan = plan.agg(F.count(F.lit(1)).alias("__ff_n"), F.sum("copies").alias("__ff_copies")).where("__ff_copies > 0")
+    plan = materialize(plan, "mix-plan")
     names = docs.columns
-    joined = docs.join(
-        plan,
-        F.col("doc_id").eqNullSafe(F.col("__ff_id"))
-        & F.col("source").eqNullSafe(F.col("__ff_source"))
-        & (size_of(text_of("text")) == F.col("__ff_size")),
-    )
-    return joined.withColumn("__ff_copy", F.explode(F.sequence(F.lit(1), F.col("__ff_copies")))).select(*names)
+
+    def of(groups: DataFrame) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("__ff_id")) & F.col("source").eqNullSafe(F.col("__ff_source"))
+        return docs.join(groups, same & (F.md5(text_of("text")) == F.col("__ff_key")))
+
+    out, several = of(plan.where("__ff_n = 1")), plan.where("__ff_n > 1")
+    if not several.isEmpty():
+        keys = ["__ff_id", "__ff_source", "__ff_key", "__ff_n", "__ff_copies"]
+        least = of(several).groupBy(*keys).agg(F.min(F.struct(*[F.col(f"`{n}`") for n in names])).alias("row"))
+        out = out.unionByName(least.select("row.*", *keys), allowMissingColumns=False)
+    return out.withColumn("__ff_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__ff_copies"))).select(*names)

@@ -16,7 +16,8 @@ SELECT placed.doc_id, placed.slot, slots.shard FROM placed JOIN slots USING (slo
 
 OP10 = f"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), '')
+    || '/' || md5(coalesce(text, '')) || '/' || row_number() OVER (PARTITION BY doc_id, source, coalesce(text, ''))) AS digest
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
@@ -38,11 +39,11 @@ q AS (
   SELECT r.*, turn, CAST(turn * source_size + upto AS DOUBLE) / target AS finish
   FROM r CROSS JOIN (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0),
 k AS (
-  SELECT doc_id, size, rank, sum(size) OVER (ORDER BY finish, rank, turn, digest, doc_id, size) <= (SELECT sum(target) FROM t) AS fits
+  SELECT rank, digest, sum(size) OVER (ORDER BY finish, rank, turn, digest, doc_id, size) <= (SELECT sum(target) FROM t) AS fits
   FROM q),
-c AS (SELECT doc_id, size, rank, count(*) FILTER (WHERE fits) AS copies FROM k GROUP BY ALL)
+c AS (SELECT rank, digest, count(*) FILTER (WHERE fits) AS copies FROM k GROUP BY ALL)
 SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * coalesce(c.copies, 0) AS BIGINT) AS taken
-FROM r LEFT JOIN c ON r.doc_id IS NOT DISTINCT FROM c.doc_id AND r.size = c.size AND r.rank = c.rank
+FROM r LEFT JOIN c USING (rank, digest)
 """
 
 
