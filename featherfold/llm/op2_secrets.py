@@ -3,9 +3,10 @@
 Every step works on one row and shuffles nothing.  Spans come from splitting the text by a
 pattern: the pieces between the matches and the matches themselves give all offsets in code
 points.  For entropy, each maximal run of a class's characters is walked once with ``aggregate``;
-the state holds the counts of the characters in the window, and each step adds the character that
-enters, takes off the one that leaves, and corrects the entropy sum by these two counts alone.
+the state holds the counts of the characters in the window, a few bits each in whole numbers, and each step adds
+the character that enters, takes off the one that leaves, and corrects the entropy sum by these two counts alone.
 Sums are whole numbers (millionths of a bit), so results never depend on the order of additions.
+Arrays grow in parts of bounded size that are then put together, so work is not quadratic in a text's length.
 """
 
 from __future__ import annotations
@@ -66,16 +67,31 @@ CLASSES = (
 SCALE = 1_000_000
 
 
-def _offsets(text: Column, pattern: str, group: int) -> Column:
-    """Array of (start, end, size of the group, match) of the leftmost matches that don't overlap."""
+def running(values: Column) -> Column:
+    """Sums of the values before each value, in about as many parts as a part has values."""
+    ints = "CAST(array() AS array<int>)"
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        found = F.struct(
-            start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["size"].alias("size"), x["hit"].alias("hit")
-        )
-        return F.struct((start + F.length(x["hit"])).alias("at"), F.concat(state["out"], F.array(found)).alias("out"))
+    def grow(state: Column, x: Column) -> Column:
+        return F.struct((state["at"] + x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    def part(own: Column) -> Column:
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), F.expr(ints).alias("out")), grow)
+
+    def chain(state: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda v: v + state["at"])
+        return F.struct((state["at"] + x["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
 
+    def of(width: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int"))
+        parts = F.transform(places, lambda c: part(F.slice(values, c * width + 1, width)))
+        zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<array<int>>)").alias("out"))
+        return F.flatten(F.aggregate(parts, zero, chain, lambda s: s["out"]))
+
+    return F.when(F.size(values) > 0, let(F.ceil(F.sqrt(F.size(values))).cast("int"), of)).otherwise(F.expr(ints))
+
+
+def _offsets(text: Column, pattern: str, group: int) -> Column:
+    """Array of (start, end, size of the group, match) of the leftmost matches that don't overlap."""
     rule = F.lit(pattern)
     hits = F.regexp_extract_all(text, rule, F.lit(0))
     sized = hits if not group else F.regexp_extract_all(text, rule, F.lit(group))
@@ -85,10 +101,19 @@ def _offsets(text: Column, pattern: str, group: int) -> Column:
         sized,
         lambda p, h: F.struct(F.length(p).alias("gap"), h["hit"].alias("hit"), h["size"].alias("size")),
     )
+
+    def placed(found: Column) -> Column:
+        before = running(F.transform(found, lambda x: x["gap"] + F.length(x["hit"])))
+        return F.zip_with(
+            found,
+            before,
+            lambda x, at: F.struct(
+                (at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["hit"])).alias("end"), x["size"].alias("size"), x["hit"].alias("hit")
+            ),
+        )
+
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,size:int,hit:string>>)")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    walked = F.aggregate(F.filter(gaps, lambda x: x["hit"].isNotNull()), zero, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    return F.when(text.rlike(pattern), let(F.filter(gaps, lambda x: x["hit"].isNotNull()), placed)).otherwise(empty)
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -107,62 +132,98 @@ def _spans(found: Column, order: int, shift: Column) -> Column:
     )
 
 
-def suspect_windows(run: Column, cls: CharClass) -> Column:
-    """Merged (start, end) of the windows of a run whose entropy reaches the class's bound."""
+LANE = 12  # counts in one long, of five bits each
+PART = 1024  # windows that one walk sees
+
+
+def _walk(run: Column, cls: CharClass) -> Column:
+    """Array of (start, end): the suspect windows of a short run, those that touch merged."""
     codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(cls.chars), c) - 1)
     late = F.concat(F.array_repeat(F.lit(-1), cls.window), codes)
-    moves = F.filter(
-        F.zip_with(codes, late, lambda a, b: F.struct(a.alias("into"), b.alias("off"))), lambda x: x["into"].isNotNull()
+    lane = lambda c: F.floor(c / F.lit(LANE)).cast("int")
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), 5 * (c % LANE))
+    moves = F.zip_with(
+        F.slice(late, 1, F.size(codes)),
+        codes,
+        lambda off, into: F.struct(
+            into.alias("into"), lane(into).alias("to_lane"), one(into).alias("add"),
+            off.alias("off"), F.when(off >= 0, lane(off)).otherwise(-1).alias("off_lane"), F.when(off >= 0, one(off)).otherwise(0).alias("take"),
+        ),
     )
     # entropy = log2(window) - sum(k log2 k) / window, k the counts: suspect while the sum is at most ``most``
     term = F.lit([0] + [round(k * math.log2(k) * SCALE) for k in range(1, cls.window + 1)])
     most = round((math.log2(cls.window) - cls.bits) * cls.window * SCALE)
+    lanes = [f"l{k}" for k in range(-(-len(cls.chars) // LANE))]
+
+    def count(s: Column, which: Column, code: Column) -> Column:
+        held = F.element_at(F.array(*[s[name] for name in lanes]), which + 1)
+        return F.call_function("shiftright", held, 5 * (code % LANE)).bitwiseAND(F.lit(31).cast("long")).cast("int")
 
-    def of(counts: Column, place: Column, more: int) -> Column:
-        return F.element_at(term, F.element_at(counts, place + 1) + 1 + more)
+    def at(k: Column) -> Column:
+        return F.element_at(term, k + 1)
 
     def step(s: Column, x: Column) -> Column:
-        counts = s["counts"]
-        less = F.when(x["off"] >= 0, of(counts, x["off"], -1) - of(counts, x["off"], 0)).otherwise(0)
-        more = of(counts, x["into"], 1) - of(counts, x["into"], 0)
+        less = F.when(x["off"] >= 0, let(count(s, F.greatest(x["off_lane"], F.lit(0)), F.greatest(x["off"], F.lit(0))), lambda k: at(k - 1) - at(k))).otherwise(0)
+        more = let(count(s, x["to_lane"], x["into"]), lambda k: at(k + 1) - at(k))
         change = F.when(x["into"] == x["off"], 0).otherwise(less + more)
-        moved = F.transform(
-            counts, lambda v, i: v + F.when(i == x["into"], 1).otherwise(0) - F.when(i == x["off"], 1).otherwise(0)
-        )
-        return let(
-            (s["sum"] + change).cast("long"),
-            lambda total: F.struct(
-                moved.alias("counts"),
+        moved = [
+            (s[name] + F.when(x["to_lane"] == k, x["add"]).otherwise(0) - F.when(x["off_lane"] == k, x["take"]).otherwise(0)).alias(name)
+            for k, name in enumerate(lanes)
+        ]
+
+        def after(total: Column) -> Column:
+            end = s["at"] + 1
+            suspect = (end >= cls.window) & (total <= most)
+            new = suspect & (s["to"] < end - cls.window)
+            return F.struct(
+                *moved,
                 total.alias("sum"),
-                (s["at"] + 1).alias("at"),
-                F.when((s["at"] + 1 < cls.window) | (total > most), s["out"])
-                .when(F.element_at(s["ends"], -1) >= s["at"] + 1 - cls.window, s["out"])
-                .otherwise(F.concat(s["out"], F.array(s["at"] + 1 - cls.window)))
-                .alias("out"),
-                F.when((s["at"] + 1 < cls.window) | (total > most), s["ends"])
-                .when(
-                    F.element_at(s["ends"], -1) >= s["at"] + 1 - cls.window,
-                    F.concat(F.slice(s["ends"], 1, F.size(s["ends"]) - 1), F.array(s["at"] + 1)),
-                )
-                .otherwise(F.concat(s["ends"], F.array(s["at"] + 1)))
-                .alias("ends"),
-            ),
-        )
+                end.alias("at"),
+                F.when(new, end - cls.window).otherwise(s["from"]).alias("from"),
+                F.when(suspect, end).otherwise(s["to"]).alias("to"),
+                F.when(new & (s["to"] >= 0), F.concat(s["out"], span(s))).otherwise(s["out"]).alias("out"),
+            )
+
+        return let((s["sum"] + change).cast("long"), after)
+
+    def span(s: Column) -> Column:
+        return F.array(F.struct(s["from"].alias("start"), s["to"].alias("end")))
 
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(cls.chars)).alias("counts"),
+        *[F.lit(0).cast("long").alias(name) for name in lanes],
         F.lit(0).cast("long").alias("sum"),
         F.lit(0).alias("at"),
-        F.expr("CAST(array() AS array<int>)").alias("out"),
-        F.array(F.lit(-1)).alias("ends"),  # a bound that no window reaches, so that there is a last one
+        F.lit(-1).alias("from"),
+        F.lit(-1).alias("to"),  # no window ends there
+        F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("out"),
     )
-    done = F.aggregate(
-        moves,
-        zero,
-        step,
-        lambda s: F.zip_with(s["out"], F.slice(s["ends"], 2, F.size(s["ends"])), lambda a, b: F.struct(a.alias("start"), b.alias("end"))),
+    return F.aggregate(moves, zero, step, lambda s: F.when(s["to"] < 0, s["out"]).otherwise(F.concat(s["out"], span(s))))
+
+
+def suspect_windows(run: Column, cls: CharClass) -> Column:
+    """Merged (start, end) of the windows of a run whose entropy reaches the class's bound.
+
+    A long run is walked in parts that share no window; spans that touch where parts meet are merged.
+    """
+    parts = F.sequence(F.lit(0), F.floor((F.length(run) - cls.window) / F.lit(PART)).cast("int"))
+    found = F.flatten(
+        F.transform(
+            parts,
+            lambda c: F.transform(
+                _walk(F.substring(run, c * PART + 1, F.lit(PART + cls.window - 1)), cls),
+                lambda x: F.struct((x["start"] + c * PART).alias("start"), (x["end"] + c * PART).alias("end")),
+            ),
+        )
     )
-    return done
+
+    def merged(spans: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.transform(spans, lambda x: x["end"]))
+        after = F.concat(F.slice(F.transform(spans, lambda x: x["start"]), 2, F.size(spans)), F.array(F.lit(1 << 30)))
+        starts = F.filter(F.zip_with(spans, F.slice(before, 1, F.size(spans)), lambda x, b: F.when(b < x["start"], x["start"])), lambda v: v.isNotNull())
+        ends = F.filter(F.zip_with(spans, after, lambda x, a: F.when(a > x["end"], x["end"])), lambda v: v.isNotNull())
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+    return let(found, lambda spans: F.when(F.size(spans) > 1, merged(spans)).otherwise(spans))
 
 
 def _apart(run: Column, rule: str) -> Column:
