@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 from ..operators.aggregate import (
-    Slice, add_ratios, aggregate, group_statistics, keep_loans_seen_since, merge_specs, roll_up, shares,
+    Slice, add_ratios, aggregate, group_statistics, merge_specs, roll_up, shares, sums_as_double,
 )
 from ..operators.density import class_density, class_medians
 from ..operators.graph import Entity, EntitySet, Relationship, chain
+from ..operators.partial import aggregate_by_part
 from ..operators.profile import two_value_columns
 from ..plans import fixed as X
 from ..plans.credit import (
     CUSTOMER, attach, application_features, balance_per_loan, build_features, bureau_features, card_features,
-    cash_features, cash_per_loan, cash_columns, child_features, cross_table_ratios, instalment_features,
+    cash_features, cash_per_loan, cash_columns, child_features, cross_table_ratios, instalment_features, latest_of_part,
     previous_features, relative_name,
 )
 from ..plans.starmap import CARD_TIES, SHARE_COLUMNS, columns_of, credit_tables
@@ -33,6 +34,42 @@ def g1(spark, d):
     return aggregate(table(spark, d, "orders"), "o_custkey", [Slice(_ORDER_SPEC, "ORD_")])
 
 
+_LATE = "l_shipdate >= '1995-01-01'"
+
+
+@query(
+    "g1_exact_whole_sums",
+    f"""SELECT l_suppkey, CAST(sum(l_linenumber) AS BIGINT) AS "l_linenumber_SUM",
+    CAST(sum(l_linenumber) FILTER (WHERE {_LATE}) AS BIGINT) AS "LATE_l_linenumber_SUM" FROM lineitem GROUP BY l_suppkey""",
+)
+def g1_whole(spark, d):
+    spec = {"l_linenumber": ["sum"]}
+    return aggregate(table(spark, d, "lineitem"), "l_suppkey", [Slice(spec), Slice(spec, "LATE_", _LATE)])
+
+
+#: Keys far beyond 53 bits, so that sums of doubles are wrong and sums of longs overflow.
+_BIG = "4611686018427387904 + l_orderkey"
+
+
+@query(
+    "g1_exact_decimal_sums",
+    f"""WITH t AS (SELECT l_suppkey, {_BIG} AS big, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem)
+    SELECT l_suppkey, CAST(sum(big) AS DECIMAL(38,0)) AS "big_SUM", CAST(sum(price) AS DECIMAL(38,2)) AS "price_SUM" FROM t GROUP BY l_suppkey""",
+)
+def g1_decimal(spark, d):
+    t = table(spark, d, "lineitem").selectExpr("l_suppkey", f"{_BIG} AS big", "CAST(l_extendedprice AS DECIMAL(18,2)) AS price")
+    return aggregate(t, "l_suppkey", [Slice({"big": ["sum"], "price": ["sum"]})])
+
+
+@query(
+    "g1_order_free_sums",
+    """SELECT l_suppkey, fsum(l_extendedprice) AS "l_extendedprice_FSUM", fsum(l_tax) AS "l_tax_FSUM" FROM lineitem GROUP BY l_suppkey""",
+)
+def g1_float(spark, d):
+    """Sums of doubles that come out the same bit for bit in any order of rows."""
+    return aggregate(table(spark, d, "lineitem"), "l_suppkey", [Slice({"l_extendedprice": ["fsum"], "l_tax": ["fsum"]})])
+
+
 _LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey"]
 _FIRST_LAST = {"l_quantity": ["first", "last"], "l_extendedprice": ["first", "last", "sum"], "l_partkey": ["nunique", "size"]}
 
@@ -77,8 +114,8 @@ def g2(spark, d):
 def g3(spark, d):
     lines = [Slice({"l_quantity": ["sum"], "l_partkey": ["size"]}, "LINE_")]
     orders = roll_up(table(spark, d, "lineitem"), table(spark, d, "orders"), "o_orderkey", lines, "l_orderkey")
-    spec = {"LINE_l_quantity_SUM": ["mean", "max"], "LINE_l_partkey_SIZE": ["sum"], "o_orderkey": ["size"]}
-    return aggregate(orders, "o_custkey", [Slice(spec, "CUST_")])
+    slices = [Slice({"LINE_l_quantity_SUM": ["mean", "max"], "LINE_l_partkey_SIZE": ["sum"], "o_orderkey": ["size"]}, "CUST_")]
+    return sums_as_double(aggregate(orders, "o_custkey", slices), slices)
 
 
 _STATUS_SPEC = {"o_totalprice": ["max", "sum", "mean", "var"], "o_orderkey": ["size"]}
@@ -133,9 +170,10 @@ _HISTORY_SPEC = {"AMT_PAYMENT": ["min", "max", "mean", "sum"], "SK_ID_PREV": ["s
         ('INS_60M_', _HISTORY_SPEC, 'seen >= -1800')])} SELECT * FROM features""",
 )
 def g7(spark, d):
-    df = keep_loans_seen_since(credit(spark, d, "installments"), "SK_ID_PREV", "DAYS_INSTALMENT", "seen")
     slices = [Slice({"SK_ID_PREV": ["size"]})] + [Slice(_HISTORY_SPEC, f"INS_{m}M_", f"seen >= {-30 * m}") for m in (36, 60)]
-    return aggregate(df, CUSTOMER, slices)
+    return aggregate_by_part(
+        credit(spark, d, "installments"), CUSTOMER, "SK_ID_PREV", slices, {"seen": latest_of_part("SK_ID_PREV", "DAYS_INSTALMENT")}
+    )
 
 
 @query("g8_group_size", "SELECT l_suppkey, count(*) AS \"LINE_COUNT\" FROM lineitem GROUP BY l_suppkey")
@@ -453,12 +491,12 @@ _BUILDERS = {
 }
 
 
-def _wide_sql(source: str = "application") -> str:
+def _wide_sql(source: str = "application", name: str | None = None) -> str:
     ctes = [credit_sql("application", "bureau", "bureau_balance", "cash", "credit", "installments", "previous")]
     ctes += [build(f"out_{n}") for n, build in _BUILDERS.items()]
     if source != "application":
         ctes.append(source)
-        ctes.append(_application_sql("out_app", source.split(" ")[0], "in_train, "))
+        ctes.append(_application_sql("out_app", name or source.split(" ")[0], "in_train, "))
     else:
         ctes.append(_application_sql("out_app"))
     joins = " ".join(f"LEFT JOIN out_{n} ON out_app.\"SK_ID_CURR\" = out_{n}.\"SK_ID_CURR\"" for n in _PARTS)
@@ -492,6 +530,40 @@ def e4b(spark, d):
     return a.unionByName(b)
 
 
+_PLANTED = {"PLANTED_CONSTANT": "7", "PLANTED_SPARSE": 'CASE WHEN "SK_ID_CURR" % 50 = 0 THEN 1e0 END'}
+_PLANTED_SPLITS = (
+    f"planted AS (SELECT *, {', '.join(f'{x} AS {q(c)}' for c, x in _PLANTED.items())} FROM application), "
+    f"split_rows AS (SELECT *, {bucket_sql(q('SK_ID_CURR'), 1000, 666)} < 750 AS in_train FROM planted)"
+)
+
+
+def _kept_sql() -> str:
+    """Names of the columns of the train rows of the wide frame that are neither mostly missing nor of one value."""
+    wide = _wide_sql(_PLANTED_SPLITS, "split_rows")
+    return f"""{wide[: wide.rindex(' SELECT *, ')]},
+    train AS (SELECT * EXCLUDE ("in_train", "TARGET", "SK_ID_CURR") FROM wide WHERE in_train),
+    s AS (UNPIVOT (SELECT {{'n': count(COLUMNS(*)), 'same': min(COLUMNS(*)) IS NOT DISTINCT FROM max(COLUMNS(*))}} FROM train)
+      ON COLUMNS(*) INTO NAME "column" VALUE state)
+    SELECT "column" FROM s, (SELECT count(*) AS rows FROM train)
+    WHERE state.n > 0 AND (rows - state.n) / rows <= 0.97 AND NOT (state.same AND state.n = rows)
+    UNION ALL SELECT unnest(['SK_ID_CURR', 'TARGET', {', '.join(f"'{n}'" for n in X.CROSS_TABLE_RATIOS)}])"""
+
+
+@query("e4_build_without_useless", _kept_sql())
+def e4c(spark, d):
+    """Columns of the train frame once useless ones are dropped, of a parent with a constant and a sparse column."""
+    from ..models.training import hold_out
+
+    tables = credit_tables(spark, base(spark, d))
+    planted = {"PLANTED_CONSTANT": F.lit(7), "PLANTED_SPARSE": F.when(F.col(CUSTOMER) % 50 == 0, 1.0)}
+    train, test = hold_out(tables["application"].withColumns(planted), CUSTOMER, 0.75)
+    a, b = build_features(train, test, tables, shares_of=SHARE_COLUMNS, card_ties=CARD_TIES)
+    if a.columns != b.columns:
+        raise ValueError("train and test have different columns")
+    # names alone are told, but from the rows: a column without any value would not be told
+    return a.agg(*[F.count(F.lit(1)).alias(c) for c in a.columns]).unpivot([], a.columns, "column", "n").select("column")
+
+
 # --- entities and relationships ------------------------------------------------------
 
 

@@ -117,14 +117,9 @@ def m8(spark, d):
     SELECT feature, importance, importance / sum(importance) OVER () AS importance_normalized FROM m""",
 )
 def m9(spark, d):
-    """One table of importances per part type, all types."""
-    part = table(spark, d, "part")
-    types = [r["p_type"] for r in part.select("p_type").distinct().orderBy("p_type").collect()]
-    per_fold = [
-        part.where(F.col("p_type").eqNullSafe(t)).groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_size").alias("importance"))
-        for t in types
-    ]
-    return normalised_importances(mean_importance(per_fold))
+    """One table of importances per part type, all types, in one scan."""
+    per_type = table(spark, d, "part").groupBy("p_type", F.col("p_brand").alias("feature")).agg(F.avg("p_size").alias("importance"))
+    return normalised_importances(mean_importance([per_type.select("feature", "importance")]))
 
 
 @query("m9_fold_model_importance")
@@ -253,8 +248,9 @@ def m16(spark, d):
 
 @query("m16_stacked_decision_tree")
 def m16b(spark, d):
+    """Every row is scored by a tree that was not fitted on it."""
     data = assemble(labelled_scores(spark, d), ["LGB", "XG", "RF"])
-    return positive_score(decision_tree("y", maxDepth=5).fit(data).transform(data)).select(KEY, "score")
+    return OutOfFold(decision_tree("y", maxDepth=5), KEY, "y", "score").run(data).oof.select(KEY, "fold", "score")
 
 
 @query("m17_penalty_sweep")

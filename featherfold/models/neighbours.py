@@ -1,13 +1,16 @@
 """Exact k-nearest-neighbour class shares.
 
-Vectors are put into cells around a few pivots.  Cell sizes and radii give each
-query a distance within which its k neighbours must lie, so only cells that reach
-into it are compared.  Cells and their queries are split into blocks of bounded
-size, and each block sends on no more than k neighbours per query.
+Vectors are put into cells around pivots, whose number grows with the root of the rows.  Each query
+first meets its own cell, which bounds the distance of its k-th neighbour.  It is then sent only to cells that
+reach into that distance, by two lower bounds: the cell's radius, and the plane halfway between the cell's pivot
+and the query's own.  Cells and their queries are split into blocks of bounded size; a block is one matrix
+product, of which what can be among the k nearest is measured exactly, and sends on no more than k
+neighbours per query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +20,80 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import stable_hash
 from ..operators.ordered import first_rows
+from ..session import shared_dir
 
 BLOCK_ROWS = 20_000
+MOST_PIVOTS = 2048  # rows that every task holds
+SLACK = 1e-9
+
+
+def pivot_count(rows: int) -> int:
+    return max(1, min(MOST_PIVOTS, math.isqrt(rows)))
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` to all rows of ``y`` by one product; exact but for rounding."""
+    d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ y.T) + (y * y).sum(axis=1)
+    return np.maximum(d, 0.0)
+
+
+def _compare(left: DataFrame, right: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(query, neighbour, distance): the k nearest of each block of each cell, for rows and queries (.., cell)."""
+    count = lambda df: {int(r["cell"]): max(1, -(-int(r["n"]) // block_rows)) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asks = count(right)  # a number per cell
+    if not asks:
+        return left.sparkSession.range(0).selectExpr("id AS query", "id AS neighbour", "CAST(id AS double) AS distance")
+    left = left.where(F.col("cell").isin(list(asks))) if len(asks) <= 64 else left
+    blocks = {c: n for c, n in count(left).items() if c in asks}
+    needed = {c: asks[c] for c in blocks}
+
+    def lookup(counts: dict[int, int]):
+        top = max(counts, default=0)
+        return F.element_at(F.lit([counts.get(c, 0) for c in range(top + 1)]), F.when(F.col("cell") <= top, F.col("cell") + 1).otherwise(1))
+
+    def spread(df: DataFrame, own: str, name: str, mine: dict[int, int], by: str, other: dict[int, int]) -> DataFrame:
+        df = df.where(F.col("cell").isin(list(blocks))) if len(blocks) <= 64 else df.where((lookup(mine) > 0))
+        df = df.withColumn(own, F.pmod(F.xxhash64(name), lookup(mine)).cast("int"))
+        return df.withColumn(by, F.explode(F.sequence(F.lit(0), lookup(other) - 1)))
+
+    if not blocks:
+        return left.sparkSession.range(0).selectExpr("id AS query", "id AS neighbour", "CAST(id AS double) AS distance")
+    left = spread(left, "block", "nid", blocks, "part", needed)
+    right = spread(right, "part", "qid", needed, "block", blocks)
+
+    def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"query": [], "neighbour": [], "distance": []}
+        if len(x) and len(q):
+            data, nid, group = np.vstack(x["vec"].to_numpy()), x["nid"].to_numpy(), x["grp"].to_numpy()
+            asked = np.vstack(q["vec"].to_numpy())
+            step = max(1, (1 << 22) // len(data))
+            for start in range(0, len(asked), step):
+                some = slice(start, start + step)
+                rough = squared_distances(asked[some], data)
+                for qid, v, g, d2 in zip(q["qid"].to_numpy()[some], asked[some], q["grp"].to_numpy()[some], rough):
+                    near = np.nonzero(group != g)[0]
+                    if len(near) > k:
+                        off = SLACK * (1.0 + float(v @ v) + np.abs(d2[near]).max())
+                        near = near[d2[near] <= np.partition(d2[near], k - 1)[k - 1] + off]
+                    d = np.sqrt(((data[near] - v) ** 2).sum(axis=1))
+                    best = np.lexsort((nid[near], d))[:k]
+                    out["query"].extend([qid] * len(best))
+                    out["neighbour"].extend(nid[near][best])
+                    out["distance"].extend(d[best])
+        return pd.DataFrame(out)
+
+    on = ["cell", "block", "part"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(compare, "query long, neighbour long, distance double")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def nearest(
-    train: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, pivots: int = 64,
+    train: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, pivots: int | None = None,
     block_rows: int = BLOCK_ROWS, not_same: str | None = None,
 ) -> DataFrame:
     """(query, neighbour, distance): the k nearest train rows of each query by Euclid; ties by id.
@@ -34,88 +105,78 @@ def nearest(
     own = F.col(not_same).cast("int") if not_same else None
     base = train.select(F.col(key).cast("long").alias("nid"), vec, (F.lit(0) if own is None else own).alias("grp"))
     asked = queries.select(F.col(key).cast("long").alias("qid"), vec, (F.lit(-1) if own is None else own).alias("grp"))
-    picked = base.orderBy(stable_hash(["nid"], "pivot"), "nid").limit(pivots).collect()  # a fixed number of rows
+    wanted = pivots or pivot_count(base.count())
+    picked = base.orderBy(stable_hash(["nid"], "pivot"), "nid").limit(wanted).collect()  # MOST_PIVOTS rows at most
     if not picked:
-        return train.sparkSession.createDataFrame([], "query bigint, neighbour bigint, distance double")
-    centres = np.array([r["vec"] for r in picked], dtype=float)
+        return train.sparkSession.range(0).selectExpr("id AS query", "id AS neighbour", "CAST(id AS double) AS distance")
+    centres = np.unique(np.array([r["vec"] for r in picked], dtype=float), axis=0)
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 x = np.vstack(b["vec"].to_numpy())
-                d = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres], axis=1)
-                b["cell"] = d.argmin(axis=1).astype("int32")
-                b["reach"] = d.min(axis=1)
+                cell = squared_distances(x, centres).argmin(axis=1)
+                b["cell"] = cell.astype("int32")
+                b["reach"] = np.sqrt(((x - centres[cell]) ** 2).sum(axis=1))
                 yield b
 
     cells = base.mapInPandas(to_cells, "nid long, vec array<double>, grp int, cell int, reach double")
     # pivots x groups rows at most
     stats = cells.groupBy("cell", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()
-    ids = np.array(sorted({s["cell"] for s in stats}))
-    place = {int(c): i for i, c in enumerate(ids)}
-    sizes, radii = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
+    sizes, radii = np.zeros(len(centres), dtype=np.int64), np.full(len(centres), -1.0)
     of_group: dict[int, np.ndarray] = {}
     for s in stats:
-        i = place[s["cell"]]
-        sizes[i] += s["n"]
-        radii[i] = max(radii[i], s["r"])
-        of_group.setdefault(s["grp"], np.zeros(len(ids), dtype=np.int64))[i] += s["n"]
-    blocks = {int(c): max(1, -(-int(sizes[i]) // block_rows)) for c, i in place.items()}
+        c = s["cell"]
+        sizes[c] += s["n"]
+        radii[c] = max(radii[c], s["r"])
+        of_group.setdefault(s["grp"], np.zeros(len(centres), dtype=np.int64))[c] += s["n"]
+    filled = np.nonzero(sizes)[0]
+    none = np.zeros(len(centres), dtype=np.int64)
+
+    def own_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                d = squared_distances(np.vstack(b["vec"].to_numpy()), centres[filled])
+                b["cell"] = filled[d.argmin(axis=1)].astype("int32")
+                yield b
 
-    def to_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    placed = asked.mapInPandas(own_cell, "qid long, vec array<double>, grp int, cell int")
+    first = _stored(_compare(cells, placed, k, block_rows), "neighbours-own")
+    held = first_rows(first, ["query"], [F.col("distance").asc(), F.col("neighbour").asc()], k)
+    bounds = held.groupBy(F.col("query").alias("qid")).agg(F.count(F.lit(1)).alias("m"), F.max("distance").alias("bound"))
+    bounds = bounds.where(F.col("m") == k).select("qid", "bound")
+    between = np.sqrt(squared_distances(centres, centres))
+
+    def to_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            x = np.vstack(b["vec"].to_numpy())
-            d = np.stack([np.sqrt(((x - centres[c]) ** 2).sum(axis=1)) for c in ids], axis=1)
-            far = d + radii
-            order = np.argsort(far, axis=1)
-            none = np.zeros(len(ids), dtype=np.int64)
-            usable = sizes - np.stack([of_group.get(int(g), none) for g in b["grp"]])
-            held = np.cumsum(np.take_along_axis(usable, order, axis=1), axis=1)
-            enough = (held < k).sum(axis=1).clip(max=len(ids) - 1)
-            bound = np.take_along_axis(far, order, axis=1)[np.arange(len(x)), enough]
-            keep = d - radii <= bound[:, None] * (1 + 1e-9) + 1e-9
+            x, mine = np.vstack(b["vec"].to_numpy()), b["cell"].to_numpy()
+            d = np.sqrt(squared_distances(x, centres))
+            bound = b["bound"].to_numpy(dtype=float, na_value=np.inf)
+            open_ = np.isinf(bound)
+            if open_.any():  # too few in the own cell: the cells that surely hold k rows
+                far = np.where(sizes > 0, d[open_] + radii, np.inf)
+                order = np.argsort(far, axis=1)
+                usable = sizes - np.stack([of_group.get(int(g), none) for g in b["grp"].to_numpy()[open_]])
+                total = np.cumsum(np.take_along_axis(usable, order, axis=1), axis=1)
+                enough = (total < k).sum(axis=1).clip(max=len(filled) - 1)
+                bound[open_] = np.take_along_axis(far, order, axis=1)[np.arange(len(order)), enough]
+            nearest_cell = d[np.arange(len(x)), mine][:, None]
+            gap = between[mine]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(gap > 0, (d * d - nearest_cell**2) / (2 * gap), 0.0)
+            least = np.maximum(d - radii, plane)
+            keep = (sizes > 0) & (least <= bound[:, None] * (1 + SLACK) + 1e-7 * (1 + nearest_cell))
+            keep[np.arange(len(x)), mine] = False
             row, col = np.nonzero(keep)
             yield pd.DataFrame(
-                {"qid": b["qid"].to_numpy()[row], "vec": b["vec"].to_numpy()[row], "grp": b["grp"].to_numpy()[row],
-                 "cell": ids[col].astype("int32")}
+                {"qid": b["qid"].to_numpy()[row], "vec": b["vec"].to_numpy()[row], "grp": b["grp"].to_numpy()[row], "cell": col.astype("int32")}
             )
 
-    wanted = asked.mapInPandas(to_candidates, "qid long, vec array<double>, grp int, cell int")
-    asks = {int(r["cell"]): max(1, -(-int(r["n"]) // block_rows))
-            for r in wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def lookup(counts: dict[int, int]):
-        return F.element_at(F.create_map(*[F.lit(v) for kv in counts.items() for v in kv]), F.col("cell"))
-
-    def slot(name: str, counts: dict[int, int]):
-        return F.pmod(F.xxhash64(name), lookup(counts)).cast("int")
-
-    needed = {c: asks.get(c, 1) for c in blocks}
-    left = cells.withColumn("block", slot("nid", blocks))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), lookup(needed) - 1)))
-    right = wanted.withColumn("part", slot("qid", needed))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), lookup(blocks) - 1)))
-
-    def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query": [], "neighbour": [], "distance": []}
-        if len(x) and len(q):
-            data, nid, group = np.vstack(x["vec"].to_numpy()), x["nid"].to_numpy(), x["grp"].to_numpy()
-            for qid, v, g in zip(q["qid"], q["vec"], q["grp"]):
-                d = np.sqrt(((data - np.asarray(v)) ** 2).sum(axis=1))
-                near = np.nonzero(group != g)[0]
-                if len(near) > k:
-                    near = near[d[near] <= np.partition(d[near], k - 1)[k - 1]]
-                best = near[np.lexsort((nid[near], d[near]))][:k]
-                out["query"].extend([qid] * len(best))
-                out["neighbour"].extend(nid[best])
-                out["distance"].extend(d[best])
-        return pd.DataFrame(out)
-
-    on = ["cell", "block", "part"]
-    pairs = left.groupBy(*on).cogroup(right.groupBy(*on))
-    found = pairs.applyInPandas(compare, "query long, neighbour long, distance double")
+    bounded = placed.join(bounds, "qid", "left").select("qid", "vec", "grp", "cell", "bound")
+    others = _stored(bounded.mapInPandas(to_others, "qid long, vec array<double>, grp int, cell int"), "neighbours-others")
+    found = first.unionByName(_compare(cells, others, k, block_rows))
     return first_rows(found, ["query"], [F.col("distance").asc(), F.col("neighbour").asc()], k)
 
 

@@ -17,10 +17,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
+from ..functions.exact import float_sum_text, total_text
 from ..functions.scalar import all_present, as_col, ratio
-from .ordered import exact_quantiles
+from .ordered import quantiles_per_group
 
 Spec = Mapping[str, Sequence[str]]
 SMALL_GROUPS = 100_000  # rows of a group table that may be broadcast
@@ -62,14 +62,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _text(func: str, x: str, where: str | None, order: Sequence[str]) -> str:
-    """SQL of one aggregate; NULL when the slice has no row, as after an unmatched left join."""
+def _text(func: str, x: str, where: str | None, order: Sequence[str], kind: str = "double") -> str:
+    """SQL of one aggregate of ``x`` of type ``kind``; NULL when the slice has no row, as after an unmatched left join.
+
+    ``sum`` is exact for whole numbers and decimals, ``fsum`` free of the order of rows for floating ones.
+    """
     only = f" FILTER (WHERE {where})" if where else ""
     if func == "size":
         return f"nullif(count(1){only}, 0)" if where else "count(1)"
-    if func == "sum":
-        # double: integer keys and counts cannot overflow; all values missing gives 0
-        total = f"coalesce(sum(cast({x} AS double)){only}, 0D)"
+    if func in ("sum", "fsum"):  # all values missing gives 0
+        total = total_text(x, kind, only) if func == "sum" else f"coalesce({float_sum_text(x, only)}, 0D)"
         return f"if(count(1){only} > 0, {total}, NULL)" if where else total
     if func in ("first", "last"):
         if not order:
@@ -95,19 +97,19 @@ def aggregate(
     ``first``/``last`` follow ``order`` and also run apart, as they need sorting.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    booleans = {f.name for f in df.schema.fields if isinstance(f.dataType, BooleanType)}
+    kinds = dict(df.dtypes)
     rows = df.where(all_present(keys))
     plain, ordered, distinct = [], [], []
     for s in slices:
         for column, funcs in s.spec.items():
-            x = f"cast({quoted(column)} AS int)" if column in booleans else quoted(column)
+            x = f"cast({quoted(column)} AS int)" if kinds[column] == "boolean" else quoted(column)
             for func in funcs:
                 name = s.name(column, func)
                 if func == "nunique":
                     distinct.append((name, x, s.where))
                 else:
                     target = ordered if func in ("first", "last") else plain
-                    target.append(f"{_text(func, x, s.where, order)} AS {quoted(name)}")
+                    target.append(f"{_text(func, x, s.where, order, kinds[column])} AS {quoted(name)}")
     parts = [rows.groupBy(*keys).agg(*[F.expr(e) for e in exprs]) for exprs in (plain, ordered) if exprs]
     if not parts:  # a filtered count would know only the keys of its own rows
         parts.append(rows.select(*keys).distinct())
@@ -123,6 +125,12 @@ def aggregate(
     return out if len(parts) == 1 else out.select(*keys, *[quoted(n) for n in outputs])
 
 
+def sums_as_double(df: DataFrame, slices: Sequence[Slice]) -> DataFrame:
+    """Exact sums rounded once to doubles, the type of a feature."""
+    sums = {s.name(c, f) for s in slices for c, funcs in s.spec.items() for f in funcs if f == "sum"}
+    return df.withColumns({n: F.col(quoted(n)).cast("double") for n in df.columns if n in sums})
+
+
 def aggregate_unfused(
     df: DataFrame, keys: str | Sequence[str], slices: Sequence[Slice], order: Sequence[str] = ()
 ) -> DataFrame:
@@ -159,11 +167,12 @@ def group_statistics(
     rows = df.where(all_present(keys))
     parts = []
     if plain:
-        exprs = [F.expr(f"{_text(f, quoted(c), None, ())} AS {quoted(n)}") for n, (c, f) in plain.items()]
+        kinds = dict(df.dtypes)
+        exprs = [F.expr(f"{_text(f, quoted(c), None, (), kinds[c])} AS {quoted(n)}") for n, (c, f) in plain.items()]
         parts.append(rows.groupBy(*keys).agg(*exprs))
     for name, (column, func) in stats.items():
         if func == "median":
-            parts.append(exact_quantiles(rows, keys, column, {name: 0.5}))
+            parts.append(quantiles_per_group(rows, keys, column, {name: 0.5}))
     table = parts[0]
     for part in parts[1:]:
         table = table.join(part, keys, "left" if plain else "full")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_col
-from .ordered import exact_quantiles
+from .ordered import quantiles_per_group
 from .screen import correlation
 
 
 def class_medians(df: DataFrame, column: str, label: str) -> DataFrame:
     """One row: correlation with the label and the median of each class."""
-    med = exact_quantiles(df.where(as_col(label).isNotNull()), [label], column, {"m": 0.5})
+    med = quantiles_per_group(df.where(as_col(label).isNotNull()), [label], column, {"m": 0.5})
     missing = F.lit(None).cast("double")
     corr = df.agg(correlation(as_col(column).cast("double"), as_col(label).cast("double")).alias("corr"))
     # one row and one row per class: stacked, then folded into a single row

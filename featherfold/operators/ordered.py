@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import all_present, as_col, stable_hash
 from ..session import bin_count
+from .selection import few_groups, select_quantiles
 
 BIN = "__bin"
 HASH_DIGITS = 4  # leading hex digits that cut a hash order into 65536 even ranges
@@ -148,6 +149,14 @@ def exact_quantiles(
     return ends.select(*keys, *out)
 
 
+def quantiles_per_group(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """:func:`exact_quantiles`; a small number of groups, counted first, is served by filtering rows to brackets of the ranks."""
+    rows = df.select(*keys, as_col(value).cast("double").alias("__x")).where(all_present([*keys, "__x"]))
+    if few_groups(rows, keys):
+        return select_quantiles(rows, keys, ["__x"], probs).drop("column")
+    return exact_quantiles(df, keys, value, probs)
+
+
 def number_rows(df: DataFrame, cols: Sequence[str], name: str, seed: int | str = 0) -> DataFrame:
     """Gapless numbers from 1 in the order of a seeded hash of ``cols`` (a fixed shuffle).
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.scalar import as_col
-from .ordered import exact_quantiles
+from ..session import shared_dir
+from .selection import select_quantiles
 
 
 COLUMNS_PER_PASS = 150
@@ -90,6 +91,40 @@ def useless_columns(df: DataFrame, limit: float = 0.97, keep: Sequence[str] = ()
     return [c for i, c in enumerate(columns) if row[f"{i}_nulls"] / row["rows"] > limit or _is_single(row, i)]
 
 
+class Profiled:
+    """A frame that is stored once, with the states of its columns.
+
+    The states (values, smallest, largest, over the rows where ``where`` holds) add up over frames that are joined
+    later: a row that a frame has no match for counts as one missing value in all its columns.  So the useless
+    columns of a wide frame are known before it is put together, and the joins read the others alone.
+    """
+
+    def __init__(self, frame: DataFrame, name: str, where: Column | None = None, skip: Sequence[str] = ()):
+        self.columns = [c for c in frame.columns if c not in skip]
+        path = shared_dir(frame.sparkSession, name)
+        frame.write.parquet(path)
+        self.frame = frame.sparkSession.read.schema(frame.schema).parquet(path)
+        seen = self.frame if where is None else self.frame.where(where)
+        self.states: dict = {"rows": 0}
+        for start in range(0, max(len(self.columns), 1), COLUMNS_PER_PASS):  # a columnar scan reads each column once
+            exprs = [F.count(F.lit(1)).alias("rows")]
+            for i, c in enumerate(self.columns[start : start + COLUMNS_PER_PASS], start):
+                x = as_col(c)
+                exprs += [F.count(x).alias(f"{i}_n"), F.min(x).alias(f"{i}_lo"), F.max(x).alias(f"{i}_hi")]
+            self.states |= seen.agg(*exprs).first().asDict()
+        self.rows = self.states["rows"]
+
+    def useless(self, rows: int, limit: float = 0.97) -> list[str]:
+        """Mostly-null and single-valued columns, once the frame is left-joined to a table of ``rows`` rows."""
+        out = []
+        for i, c in enumerate(self.columns):
+            nulls = rows - self.states[f"{i}_n"]
+            lo, hi = self.states[f"{i}_lo"], self.states[f"{i}_hi"]
+            if rows and (nulls / rows > limit or lo is None or (lo == hi and not nulls)):
+                out.append(c)
+        return out
+
+
 def two_value_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     """Columns with exactly two distinct values, a missing value counting as one.
 
@@ -128,7 +163,7 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, q25, q50, q75), exact and interpolated."""
-    return exact_quantiles(melt(df, columns), ["column"], "value", QUARTILES, split_by=["column"])
+    return select_quantiles(df, [], columns, QUARTILES)
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

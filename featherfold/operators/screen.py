@@ -6,18 +6,16 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_col, hash_bucket
-from ..models.metrics import auc, auc_value
+from ..models.metrics import auc
 from ..models.training import assemble, positive_score, random_forest
 from .combine import minus_names, union_names
+from .gram import lasso_path
 from .ordered import number_rows, running_sums
-from .profile import melt, to_long
+from .profile import to_long
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of the rows where both are present; NULL where one of them does not vary."""
@@ -111,12 +109,15 @@ def distance_correlations(df: DataFrame, columns: Sequence[str], label: str) ->
     every sum over pairs follows from running counts and running totals.
     """
     y = as_col(label).cast("int")
-    long = melt(df.where(y.isNotNull()).withColumn("__y", y), columns, ["__y"]).where(F.col("value").isNotNull())
+    rows = df.where(y.isNotNull())
     # the measure knows neither shift nor scale: without them, sums of squares do not cancel
-    scales = long.groupBy("column").agg(F.avg("value").alias("__mean"), F.stddev_pop("value").alias("__dev"))
-    long = long.join(F.broadcast(scales), "column")  # one row per listed column
-    scaled = F.coalesce(F.try_divide(F.col("value") - F.col("__mean"), F.col("__dev")), F.lit(0.0))
-    long = long.select("column", scaled.alias("value"), "__y")
+    scales = rows.agg(*[f(as_col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
+    items = []
+    for i, c in enumerate(columns):
+        x, mean, dev = as_col(c).cast("double"), scales[f"m{i}"], scales[f"d{i}"]
+        scaled = (x - F.lit(mean)) / F.lit(dev) if dev else F.when(x.isNotNull(), 0.0)
+        items.append(F.struct(F.lit(c).alias("column"), scaled.alias("value")))
+    long = rows.select(y.alias("__y"), F.inline(F.array(*items))).where(F.col("value").isNotNull()).select("column", "value", "__y")
     counts = long.groupBy("column", "value").agg(
         F.sum(1.0 - F.col("__y")).alias("c0"), F.sum(F.col("__y").cast("double")).alias("c1")
     )
@@ -189,25 +190,15 @@ def _ranked(spark, names: Sequence[str], values) -> DataFrame:
 
 
 def lasso_ranks(
-    df: DataFrame, columns: Sequence[str], label: str, penalties: Sequence[float], folds: int = 3, max_iter: int = 2000,
-    key: Sequence[str] | None = None,
+    df: DataFrame, columns: Sequence[str], label: str, penalties: Sequence[float], folds: int = 3, key: Sequence[str] | None = None
 ) -> DataFrame:
     """Absolute coefficients of an L1 linear fit whose penalty is chosen by cross-validation.
 
-    Folds are a seeded hash of the columns ``key``, or of all of ``columns`` where no key is named.
+    Folds are a seeded hash of the columns ``key``, or of all of ``columns`` where no key is named.  One
+    pass gives the cross products of each fold; all fits and held-out errors follow from these.
     """
-    fold = hash_bucket(list(key or columns), folds, 0)
-    data = assemble(df.withColumns({"__y": as_col(label).cast("double"), "__fold": fold}), columns)
-    data = data.select("features", "__y", "__fold")
-    lr = LinearRegression(labelCol="__y", featuresCol="features", elasticNetParam=1.0, maxIter=max_iter)
-    cv = CrossValidator(
-        estimator=lr,
-        estimatorParamMaps=[{lr.regParam: p} for p in penalties],
-        evaluator=RegressionEvaluator(labelCol="__y", metricName="mse"),
-        numFolds=folds, seed=0, parallelism=2, foldCol="__fold",
-    )
-    best = cv.fit(data).bestModel
-    return _ranked(df.sparkSession, columns, [abs(v) for v in best.coefficients.toArray()])
+    coefficients, _, _ = lasso_path(df, columns, label, penalties, hash_bucket(list(key or columns), folds, 0))
+    return _ranked(df.sparkSession, columns, np.abs(coefficients))
 
 
 def forest_ranks(df: DataFrame, columns: Sequence[str], label: str, **params) -> DataFrame:
@@ -237,21 +228,23 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance): loss in AUC of a fitted pipeline when one column is shuffled.
 
-    Two seeded numberings of the rows are joined on the number, which hands every row
-    the feature values of another row; each feature is then swapped in on its own.
+    Two seeded numberings of the rows are joined on the number, which hands every row the feature values
+    of another row.  Each feature is then swapped in on its own: one pass scores all variants of a row, side by
+    side in an array, and one aggregate gives the AUC of each.
     """
-    base = auc_value(positive_score(model.transform(df)), "score", label)
     rows = number_rows(df, [key], "__row", f"{seed}a")
     donors = number_rows(df.select(key, *features), [key], "__row", f"{seed}b")
     donors = donors.select("__row", *[as_col(f).alias(f"__other_{f}") for f in features])
     both = rows.join(donors, "__row", "inner")
-    out = None
-    for f in features:
-        part = positive_score(model.transform(both.withColumn(f, F.col(f"__other_{f}"))))
-        part = part.select(F.lit(f).alias("feature"), label, "score")
-        out = part if out is None else out.unionByName(part)
-    shuffled = auc(out, "score", label, ["feature"])
-    return shuffled.select("feature", (F.lit(base) - F.col("auc")).alias("importance"))
+    variant = F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("__variant")  # 0: as it is
+    both = both.select(*[c for c in both.columns if c != "__row"], variant)
+    swapped = {f: F.when(F.col("__variant") == i, F.col(f"__other_{f}")).otherwise(F.col(f)) for i, f in enumerate(features, 1)}
+    scored = positive_score(model.transform(both.withColumns(swapped)))
+    names = F.element_at(F.lit(["", *features]), F.col("__variant") + 1)
+    found = auc(scored.select(names.alias("feature"), label, "score"), "score", label, ["feature"])
+    base = F.max(F.when(F.col("feature") == "", F.col("auc"))).over(Window.partitionBy())  # one row per feature
+    lost = found.select("feature", (base - F.col("auc")).alias("importance"))
+    return lost.where(F.col("feature") != "")
 
 
 def mean_importance(tables: Sequence[DataFrame]) -> DataFrame:

@@ -16,14 +16,13 @@ from ..functions.scalar import (
     age_band, flag, floor_at_zero, pick, ratio, row_kurtosis, row_mean, row_missing, row_sum, strict_sum,
 )
 from ..operators.aggregate import (
-    Slice, add_differences, add_ratios, aggregate, group_statistics, keep_loans_seen_since, merge_specs, shares,
+    Slice, add_differences, add_ratios, aggregate, group_statistics, merge_specs, quoted, shares, sums_as_double,
 )
 from ..operators.clean import columns_like, sentinels_to_null
 from ..operators.combine import attach, with_borrowed_columns
-from ..operators.ordered import first_rows, first_value, last_value, latest_row
-from ..operators.profile import two_value_columns, useless_columns
-from ..session import shared_dir
-from ..sources.files import write_parquet
+from ..operators.ordered import first_rows, first_value, last_value
+from ..operators.partial import aggregate_by_part, merge_parts, part_states, state_col
+from ..operators.profile import Profiled, two_value_columns
 from . import fixed as X
 
 CUSTOMER, LOAN, BUREAU_LOAN, LABEL = "SK_ID_CURR", "SK_ID_PREV", "SK_ID_BUREAU", "TARGET"
@@ -128,7 +127,7 @@ def bureau_features(
     """One row per customer from bureau loans, all slices in one aggregate."""
     df = bureau_columns(bureau, balance, balance_shares, fanout)
     slices = bureau_slices(list(_share_spec(df, share_columns)))
-    base = aggregate(df, CUSTOMER, slices)
+    base = sums_as_double(aggregate(df, CUSTOMER, slices), slices)
     recent = df.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER).agg(
         last_value("AMT_CREDIT_MAX_OVERDUE", ["DAYS_CREDIT"]).alias("BURO_LAST_LOAN_MAX_OVERDUE")
     )
@@ -158,7 +157,8 @@ def previous_slices(share_columns: Sequence[str], months: Sequence[int] = (6, 12
 
 def previous_features(prev: DataFrame, share_columns: Sequence[str] | None = None) -> DataFrame:
     df = previous_columns(prev)
-    return aggregate(df, CUSTOMER, previous_slices(list(_share_spec(df, share_columns))))
+    slices = previous_slices(list(_share_spec(df, share_columns)))
+    return sums_as_double(aggregate(df, CUSTOMER, slices), slices)
 
 
 # --- instalments -----------------------------------------------------------------
@@ -198,13 +198,19 @@ def instalment_slices(share_columns: Sequence[str], months: Sequence[int] = (36,
     return out
 
 
+def latest_of_part(part: str, when: str) -> str:
+    """SQL of the latest ``when`` of a part; rows without a part are never recent."""
+    return f"max({quoted(when)}) FILTER (WHERE {quoted(part)} IS NOT NULL)"
+
+
 def instalment_features(
     inst: DataFrame, share_columns: Sequence[str] | None = None, late_from: str = "DBD"
 ) -> DataFrame:
     df = instalment_columns(inst, late_from)
     extra = list(_share_spec(df, share_columns))
-    df = keep_loans_seen_since(df, LOAN, "DAYS_INSTALMENT", "__seen")
-    out = aggregate(df, CUSTOMER, instalment_slices(extra))
+    slices = instalment_slices(extra)
+    out = aggregate_by_part(df, CUSTOMER, LOAN, slices, {"__seen": latest_of_part(LOAN, "DAYS_INSTALMENT")})
+    out = sums_as_double(out, slices)
     return out.withColumns(
         {
             "INSTAL_TOTAL_PAYMENT_RATE": ratio("INSTAL_AMT_PAYMENT_SUM", "INSTAL_AMT_INSTALMENT_SUM"),
@@ -249,18 +255,46 @@ def _split_ordered(spec: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
     return {c: funcs for c, funcs in kept.items() if funcs}
 
 
+def _ordered(func: str, column: str) -> str:
+    """SQL of the first or last non-missing value by month (ties: the smallest or largest)."""
+    pick = "min_by" if func == "first" else "max_by"
+    return f"{pick}({column}, if({column} IS NOT NULL, struct(MONTHS_BALANCE, {column}), NULL))"
+
+
+CASH_LOAN_STATES = {
+    "__loan": f"count({LOAN})",
+    "__done": "avg(NAME_CONTRACT_STATUS_Completed)",
+    "__first": _ordered("first", "CNT_INSTALMENT"),
+    "__last": _ordered("last", "CNT_INSTALMENT"),
+    "__left": _ordered("last", "CNT_INSTALMENT_FUTURE"),
+    "__late": "sum(LATE_PAYMENT)",
+    "__month": "max(MONTHS_BALANCE)",
+}
+
+
 def cash_features(
     cash: DataFrame, share_columns: Sequence[str] | None = None, recent_loans: int = 3, recent_by: str = LOAN
 ) -> DataFrame:
-    """One row per customer from monthly cash balances.
+    """One row per customer from monthly cash balances, which are read once.
 
-    First and last values run over (loan, month), so they are read off the per-loan
-    summary, which is far smaller than the monthly rows.
+    First and last values run over (loan, month), so they are read off the states of the loans,
+    which are far fewer than the monthly rows.  A loan belongs to one customer.
     """
     df = cash_columns(cash)
     spec = merge_specs(X.CASH_SPEC, _share_spec(df, share_columns))
-    base = aggregate(df, CUSTOMER, [Slice(_split_ordered(spec), "POS_")])
-    loans = cash_per_loan(df).where(F.col(CUSTOMER).isNotNull())
+    slices = [Slice(_split_ordered(spec), "POS_")]
+    parts = part_states(df, CUSTOMER, LOAN, slices, CASH_LOAN_STATES)
+    base = sums_as_double(merge_parts(parts, CUSTOMER, LOAN, slices), slices)
+    first, last, left, done = (state_col(c) for c in ("__first", "__last", "__left", "__done"))
+    loans = parts.where(state_col("__loan") > 0).select(
+        CUSTOMER, LOAN,
+        done.alias("POS_LOAN_COMPLETED_MEAN"),
+        flag((first - last > 0) & (done > 0)).alias("POS_COMPLETED_BEFORE_MEAN"),
+        ratio(left, last).alias("POS_REMAINING_INSTALMENTS_RATIO"),
+        state_col("__late").alias("LATE_PAYMENT_SUM"),
+        state_col("__month").alias("MONTHS_BALANCE_MAX"),
+        first.alias("__first"), last.alias("__last"), left.alias("__left"),
+    )
     totals = loans.groupBy(CUSTOMER).agg(
         first_value("__first", [LOAN]).alias("POS_CNT_INSTALMENT_FIRST"),
         last_value("__last", [LOAN]).alias("POS_CNT_INSTALMENT_LAST"),
@@ -322,20 +356,24 @@ def card_features(
     the windows months; the default keeps the workload's factor of 30.
     """
     df = card_columns(card)
-    extra = list(_share_spec(df, share_columns))
-    seen = keep_loans_seen_since(df, LOAN, "MONTHS_BALANCE", "__seen")
-    base = aggregate(seen, CUSTOMER, card_slices(extra, prefix=window_prefix, month_factor=month_factor))
-    last = latest_row(df.where(F.col(LOAN).isNotNull()), [LOAN], "MONTHS_BALANCE", ties)
-    last = aggregate(last, CUSTOMER, [Slice(X.CARD_LAST_SPEC, "CC_LAST_")])
-    return base.join(last, CUSTOMER, "left")
+    slices = card_slices(list(_share_spec(df, share_columns)), prefix=window_prefix, month_factor=month_factor)
+    newest = ", ".join(["MONTHS_BALANCE IS NULL", "-MONTHS_BALANCE", *[f"{quoted(t)} IS NULL, {quoted(t)}" for t in ties]])
+    extra = {"__seen": latest_of_part(LOAN, "MONTHS_BALANCE"), "__loan": f"count({LOAN})"}
+    last = {f"__last_{c}": f"min_by({quoted(c)}, struct({newest}))" for c in X.CARD_LAST_SPEC}
+    parts = part_states(df, CUSTOMER, LOAN, slices, extra | last)
+    base = sums_as_double(merge_parts(parts, CUSTOMER, LOAN, slices, list(extra)), slices)
+    rows = parts.where(state_col("__loan") > 0).select(CUSTOMER, *[state_col(f"__last_{c}").alias(c) for c in X.CARD_LAST_SPEC])
+    return base.join(aggregate(rows, CUSTOMER, [Slice(X.CARD_LAST_SPEC, "CC_LAST_")]), CUSTOMER, "left")
 
 
 # --- whole build -------------------------------------------------------------------
 
 
-def cross_table_ratios(df: DataFrame) -> DataFrame:
-    """Ratios between child aggregates and parent columns."""
-    return add_ratios(df, {n: p for n, p in X.CROSS_TABLE_RATIOS.items() if set(p) <= set(df.columns)})
+def cross_table_ratios(df: DataFrame, missing: Sequence[str] = ()) -> DataFrame:
+    """Ratios between child aggregates and parent columns; NULL for those over a column that is ``missing``."""
+    known = {n: p for n, p in X.CROSS_TABLE_RATIOS.items() if not set(p) & set(missing)}
+    none = {n: F.lit(None).cast("double") for n in X.CROSS_TABLE_RATIOS if n not in known}
+    return add_ratios(df, known).withColumns(none).select(*df.columns, *X.CROSS_TABLE_RATIOS)
 
 
 def child_features(
@@ -366,18 +404,24 @@ def build_features(
 ) -> tuple[DataFrame, DataFrame]:
     """Wide train and test frames: parent columns, all children, cross-table ratios.
 
-    Group statistics are worked out within each split.  To find useless columns the
-    wide frames are written to shared storage once and profiled there, column group
-    by column group; the joins do not run again for the profile or the result.
+    Group statistics are worked out within each split.  Useless columns of the train rows are found without the
+    wide frame: each child's features are stored once, for the customers of both splits, and so is the
+    train parent; the states of their columns are added up, and customers without a child count as missing in
+    its columns.  The joins then read the kept columns alone.  A cross-table ratio with a column
+    that was dropped is NULL.
     """
-    parts = list(child_features(tables, shares_of, card_ties).values())
-    wide = [attach(application_features(df, raw), parts, CUSTOMER) for df in (train, test)]
-    if drop_useless:
-        spark = train.sparkSession
-        for i, name in enumerate(("train", "test")):
-            path = shared_dir(spark, f"wide-{name}")
-            write_parquet(wide[i], path)
-            wide[i] = spark.read.parquet(path)
-        gone = useless_columns(wide[0], keep=(CUSTOMER, LABEL))
-        wide = [df.drop(*gone) for df in wide]
-    return cross_table_ratios(wide[0]), cross_table_ratios(wide[1])
+    parts = child_features(tables, shares_of, card_ties)
+    parents = [application_features(df, raw) for df in (train, test)]
+    if not drop_useless:
+        return tuple(cross_table_ratios(attach(parent, list(parts.values()), CUSTOMER)) for parent in parents)
+    ids = train.select(CUSTOMER, F.lit(True).alias("__train")).union(test.select(CUSTOMER, F.lit(False)))
+    own = Profiled(parents[0], "parent", skip=(CUSTOMER, LABEL))
+    parents[0] = own.frame
+    gone, kept = own.useless(own.rows), []
+    for name, part in parts.items():
+        held = Profiled(part.join(ids, CUSTOMER), f"features-{name}", F.col("__train"), skip=(CUSTOMER, "__train"))
+        dropped = held.useless(own.rows)
+        gone += dropped
+        kept.append(held.frame.drop("__train", *dropped))
+    parents = [parent.drop(*gone) for parent in parents]
+    return tuple(cross_table_ratios(attach(parent, kept, CUSTOMER), missing=gone) for parent in parents)

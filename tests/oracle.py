@@ -67,7 +67,8 @@ def compare(df, con, sql: str) -> str | None:
         bad = [(c, p, r) for c, p, r in zip(cols, x, y) if not _same(p, r)]
         if bad:
             return f"values: {bad[:4]} in row {dict(list(zip(cols, x))[:4])}"
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT",
+             "decimal(38,0)": "DECIMAL(38,0)", "decimal(38,2)": "DECIMAL(38,2)"}
     wrong = [(c, t, types[c]) for c, t in df.dtypes if kinds.get(t, types[c]) != types[c]]
     return f"types (values equal): {wrong[:5]}" if wrong else None
 
