@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 from ..operators.aggregate import (
-    Slice, add_ratios, aggregate, group_statistics, merge_specs, roll_up, shares, sums_as_double,
+    Slice, add_ratios, aggregate, group_statistics, merge_specs, roll_up, shares,
 )
 from ..operators.density import class_density, class_medians
 from ..operators.graph import Entity, EntitySet, Relationship, chain
@@ -114,8 +114,8 @@ def g2(spark, d):
 def g3(spark, d):
     lines = [Slice({"l_quantity": ["sum"], "l_partkey": ["size"]}, "LINE_")]
     orders = roll_up(table(spark, d, "lineitem"), table(spark, d, "orders"), "o_orderkey", lines, "l_orderkey")
-    slices = [Slice({"LINE_l_quantity_SUM": ["mean", "max"], "LINE_l_partkey_SIZE": ["sum"], "o_orderkey": ["size"]}, "CUST_")]
-    return sums_as_double(aggregate(orders, "o_custkey", slices), slices)
+    spec = {"LINE_l_quantity_SUM": ["mean", "max"], "LINE_l_partkey_SIZE": ["sum"], "o_orderkey": ["size"]}
+    return aggregate(orders, "o_custkey", [Slice(spec, "CUST_", doubles=True)])
 
 
 _STATUS_SPEC = {"o_totalprice": ["max", "sum", "mean", "var"], "o_orderkey": ["size"]}

@@ -29,12 +29,16 @@ SMALL_KEY_BYTES = 8 << 20  # and the bytes its keys may have
 
 @dataclass(frozen=True)
 class Slice:
-    """Aggregates ``spec`` over the rows where the SQL condition ``where`` holds; names get ``prefix``."""
+    """Aggregates ``spec`` over the rows where the SQL condition ``where`` holds; names get ``prefix``.
+
+    Sums are exact; with ``doubles`` they are doubles, the type of a feature, which hold whole numbers below 2**53.
+    """
 
     spec: Spec
     prefix: str = ""
     where: str | None = None
     names: Mapping[tuple[str, str], str] = field(default_factory=dict)
+    doubles: bool = False
 
     def name(self, column: str, func: str) -> str:
         return self.names.get((column, func), f"{self.prefix}{column}_{func.upper()}")
@@ -109,7 +113,8 @@ def aggregate(
                     distinct.append((name, x, s.where))
                 else:
                     target = ordered if func in ("first", "last") else plain
-                    target.append(f"{_text(func, x, s.where, order, kinds[column])} AS {quoted(name)}")
+                    kind = "double" if s.doubles else kinds[column]
+                    target.append(f"{_text(func, x, s.where, order, kind)} AS {quoted(name)}")
     parts = [rows.groupBy(*keys).agg(*[F.expr(e) for e in exprs]) for exprs in (plain, ordered) if exprs]
     if not parts:  # a filtered count would know only the keys of its own rows
         parts.append(rows.select(*keys).distinct())
@@ -125,12 +130,6 @@ def aggregate(
     return out if len(parts) == 1 else out.select(*keys, *[quoted(n) for n in outputs])
 
 
-def sums_as_double(df: DataFrame, slices: Sequence[Slice]) -> DataFrame:
-    """Exact sums rounded once to doubles, the type of a feature."""
-    sums = {s.name(c, f) for s in slices for c, funcs in s.spec.items() for f in funcs if f == "sum"}
-    return df.withColumns({n: F.col(quoted(n)).cast("double") for n in df.columns if n in sums})
-
-
 def aggregate_unfused(
     df: DataFrame, keys: str | Sequence[str], slices: Sequence[Slice], order: Sequence[str] = ()
 ) -> DataFrame:
@@ -139,7 +138,7 @@ def aggregate_unfused(
     out = df.where(all_present(keys)).select(*keys).distinct()
     for s in slices:
         rows = df.where(s.where) if s.where else df
-        out = out.join(aggregate(rows, keys, [Slice(s.spec, s.prefix, None, s.names)], order), keys, "left")
+        out = out.join(aggregate(rows, keys, [Slice(s.spec, s.prefix, None, s.names, s.doubles)], order), keys, "left")
     return out
 
 

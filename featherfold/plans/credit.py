@@ -16,7 +16,7 @@ from ..functions.scalar import (
     age_band, flag, floor_at_zero, pick, ratio, row_kurtosis, row_mean, row_missing, row_sum, strict_sum,
 )
 from ..operators.aggregate import (
-    Slice, add_differences, add_ratios, aggregate, group_statistics, merge_specs, quoted, shares, sums_as_double,
+    Slice, add_differences, add_ratios, aggregate, group_statistics, merge_specs, quoted, shares,
 )
 from ..operators.clean import columns_like, sentinels_to_null
 from ..operators.combine import attach, with_borrowed_columns
@@ -29,6 +29,10 @@ CUSTOMER, LOAN, BUREAU_LOAN, LABEL = "SK_ID_CURR", "SK_ID_PREV", "SK_ID_BUREAU",
 DAYS_PER_MONTH = 30
 
 
+def feature_slice(*args, **kwargs) -> Slice:
+    return Slice(*args, **kwargs, doubles=True)
+
+
 def _share_spec(df: DataFrame, columns: Sequence[str] | None) -> dict[str, list[str]]:
     """Means of 0/1 columns: the given ones, or those a profiling pass finds."""
     return shares(two_value_columns(df) if columns is None else columns)
@@ -82,7 +86,7 @@ def application_features(
 def balance_per_loan(balance: DataFrame, share_columns: Sequence[str] | None = None) -> DataFrame:
     """One row per bureau loan: month range, month count and status shares."""
     spec = merge_specs(X.BALANCE_SPEC, _share_spec(balance, share_columns))
-    return aggregate(balance, BUREAU_LOAN, [Slice(spec)])
+    return aggregate(balance, BUREAU_LOAN, [feature_slice(spec)])
 
 
 def bureau_columns(
@@ -106,14 +110,14 @@ def bureau_columns(
 
 def bureau_slices(share_columns: Sequence[str], months: Sequence[int] = (6, 12)) -> list[Slice]:
     out = [
-        Slice(merge_specs(X.BUREAU_SPEC, shares(share_columns), shares(["STATUS_C"])), "BURO_"),
-        Slice(X.BUREAU_ACTIVE_SPEC, "BURO_ACTIVE_", "CREDIT_ACTIVE_Active = 1"),
-        Slice(X.BUREAU_CLOSED_SPEC, "BURO_CLOSED_", "CREDIT_ACTIVE_Closed = 1"),
+        feature_slice(merge_specs(X.BUREAU_SPEC, shares(share_columns), shares(["STATUS_C"])), "BURO_"),
+        feature_slice(X.BUREAU_ACTIVE_SPEC, "BURO_ACTIVE_", "CREDIT_ACTIVE_Active = 1"),
+        feature_slice(X.BUREAU_CLOSED_SPEC, "BURO_CLOSED_", "CREDIT_ACTIVE_Closed = 1"),
     ]
     for kind, prefix in X.LOAN_TYPES.items():
-        out.append(Slice(X.BUREAU_TYPE_SPEC, prefix, f"`CREDIT_TYPE_{kind}` = 1"))
+        out.append(feature_slice(X.BUREAU_TYPE_SPEC, prefix, f"`CREDIT_TYPE_{kind}` = 1"))
     for m in months:
-        out.append(Slice(X.BUREAU_RECENT_SPEC, f"BURO_LAST{m}M_", f"DAYS_CREDIT >= {-DAYS_PER_MONTH * m}"))
+        out.append(feature_slice(X.BUREAU_RECENT_SPEC, f"BURO_LAST{m}M_", f"DAYS_CREDIT >= {-DAYS_PER_MONTH * m}"))
     return out
 
 
@@ -127,7 +131,7 @@ def bureau_features(
     """One row per customer from bureau loans, all slices in one aggregate."""
     df = bureau_columns(bureau, balance, balance_shares, fanout)
     slices = bureau_slices(list(_share_spec(df, share_columns)))
-    base = sums_as_double(aggregate(df, CUSTOMER, slices), slices)
+    base = aggregate(df, CUSTOMER, slices)
     recent = df.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER).agg(
         last_value("AMT_CREDIT_MAX_OVERDUE", ["DAYS_CREDIT"]).alias("BURO_LAST_LOAN_MAX_OVERDUE")
     )
@@ -146,19 +150,19 @@ def previous_columns(prev: DataFrame) -> DataFrame:
 
 def previous_slices(share_columns: Sequence[str], months: Sequence[int] = (6, 12)) -> list[Slice]:
     out = [
-        Slice(merge_specs(X.PREVIOUS_SPEC, shares(share_columns)), "PREV_"),
-        Slice(X.PREVIOUS_SPEC, "APPROVED_", "NAME_CONTRACT_STATUS_Approved = 1"),
-        Slice(X.PREVIOUS_SPEC, "REFUSED_", "NAME_CONTRACT_STATUS_Refused = 1"),
+        feature_slice(merge_specs(X.PREVIOUS_SPEC, shares(share_columns)), "PREV_"),
+        feature_slice(X.PREVIOUS_SPEC, "APPROVED_", "NAME_CONTRACT_STATUS_Approved = 1"),
+        feature_slice(X.PREVIOUS_SPEC, "REFUSED_", "NAME_CONTRACT_STATUS_Refused = 1"),
     ]
     for m in months:
-        out.append(Slice(X.PREVIOUS_RECENT_SPEC, f"PREV_LAST{m}M_", f"DAYS_DECISION >= {-DAYS_PER_MONTH * m}"))
+        out.append(feature_slice(X.PREVIOUS_RECENT_SPEC, f"PREV_LAST{m}M_", f"DAYS_DECISION >= {-DAYS_PER_MONTH * m}"))
     return out
 
 
 def previous_features(prev: DataFrame, share_columns: Sequence[str] | None = None) -> DataFrame:
     df = previous_columns(prev)
     slices = previous_slices(list(_share_spec(df, share_columns)))
-    return sums_as_double(aggregate(df, CUSTOMER, slices), slices)
+    return aggregate(df, CUSTOMER, slices)
 
 
 # --- instalments -----------------------------------------------------------------
@@ -192,9 +196,9 @@ def instalment_columns(inst: DataFrame, late_from: str = "DBD") -> DataFrame:
 
 
 def instalment_slices(share_columns: Sequence[str], months: Sequence[int] = (36, 60)) -> list[Slice]:
-    out = [Slice(merge_specs(X.INSTALMENT_SPEC, shares(share_columns)), "INSTAL_")]
+    out = [feature_slice(merge_specs(X.INSTALMENT_SPEC, shares(share_columns)), "INSTAL_")]
     for m in months:
-        out.append(Slice(X.INSTALMENT_RECENT_SPEC, f"INS_{m}M_", f"__seen >= {-DAYS_PER_MONTH * m}"))
+        out.append(feature_slice(X.INSTALMENT_RECENT_SPEC, f"INS_{m}M_", f"__seen >= {-DAYS_PER_MONTH * m}"))
     return out
 
 
@@ -210,7 +214,6 @@ def instalment_features(
     extra = list(_share_spec(df, share_columns))
     slices = instalment_slices(extra)
     out = aggregate_by_part(df, CUSTOMER, LOAN, slices, {"__seen": latest_of_part(LOAN, "DAYS_INSTALMENT")})
-    out = sums_as_double(out, slices)
     return out.withColumns(
         {
             "INSTAL_TOTAL_PAYMENT_RATE": ratio("INSTAL_AMT_PAYMENT_SUM", "INSTAL_AMT_INSTALMENT_SUM"),
@@ -282,9 +285,9 @@ def cash_features(
     """
     df = cash_columns(cash)
     spec = merge_specs(X.CASH_SPEC, _share_spec(df, share_columns))
-    slices = [Slice(_split_ordered(spec), "POS_")]
+    slices = [feature_slice(_split_ordered(spec), "POS_")]
     parts = part_states(df, CUSTOMER, LOAN, slices, CASH_LOAN_STATES)
-    base = sums_as_double(merge_parts(parts, CUSTOMER, LOAN, slices), slices)
+    base = merge_parts(parts, CUSTOMER, LOAN, slices)
     first, last, left, done = (state_col(c) for c in ("__first", "__last", "__left", "__done"))
     loans = parts.where(state_col("__loan") > 0).select(
         CUSTOMER, LOAN,
@@ -332,14 +335,14 @@ def card_slices(
     relative = {relative_name(c): X.CARD_RELATIVE_FUNCTIONS for c in X.CARD_DRAWINGS}
     sizes = {"MONTHS_BALANCE": ["size"]}
     out = [
-        Slice(
+        feature_slice(
             merge_specs(X.CARD_SPEC, relative, shares(share_columns), sizes),
             "CC_",
             names={("MONTHS_BALANCE", "size"): "CC_COUNT"},
         )
     ]
     for m in months:
-        out.append(Slice(X.CARD_RECENT_SPEC, f"{prefix}{m}M_", f"__seen >= {-month_factor * m}"))
+        out.append(feature_slice(X.CARD_RECENT_SPEC, f"{prefix}{m}M_", f"__seen >= {-month_factor * m}"))
     return out
 
 
@@ -361,9 +364,9 @@ def card_features(
     extra = {"__seen": latest_of_part(LOAN, "MONTHS_BALANCE"), "__loan": f"count({LOAN})"}
     last = {f"__last_{c}": f"min_by({quoted(c)}, struct({newest}))" for c in X.CARD_LAST_SPEC}
     parts = part_states(df, CUSTOMER, LOAN, slices, extra | last)
-    base = sums_as_double(merge_parts(parts, CUSTOMER, LOAN, slices, list(extra)), slices)
+    base = merge_parts(parts, CUSTOMER, LOAN, slices, list(extra))
     rows = parts.where(state_col("__loan") > 0).select(CUSTOMER, *[state_col(f"__last_{c}").alias(c) for c in X.CARD_LAST_SPEC])
-    return base.join(aggregate(rows, CUSTOMER, [Slice(X.CARD_LAST_SPEC, "CC_LAST_")]), CUSTOMER, "left")
+    return base.join(aggregate(rows, CUSTOMER, [feature_slice(X.CARD_LAST_SPEC, "CC_LAST_")]), CUSTOMER, "left")
 
 
 # --- whole build -------------------------------------------------------------------
