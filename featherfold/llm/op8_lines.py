@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from .common import rows_of, strings, text_of
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 WINDOW = 8
+LONG_WORDS = 4096
+MIX = np.uint64(0x9E3779B97F4A7C15)
 NAVIGATION = re.compile(
     r"(?i)^\W*(?:home|menu|next|previous|prev|back|more|read more|skip to (?:main )?content|click here|sign in|log ?in|"
     r"sign up|register|search|site ?map|contact us|about us|share|tweet|print|top)\W*$"
@@ -38,8 +41,9 @@ class LineRules:
     A line fails when it has under ``prose_words`` words and no sentence end, more than
     ``symbols_per_word`` of the marks #*$%&|<>, more than ``capitals`` of its letters in upper case
     from ``judged_words`` words on, fewer than ``distinct`` of its words different from
-    ``repeat_words`` words on, or when it is navigation or boilerplate.  A document goes when over
-    ``lost`` of its words stand in failing lines.
+    ``repeat_words`` words on (but not with ``varied_words`` different ones, as long lines repeat common words), or
+    when it has up to ``navigation_words`` words and is navigation, or up to ``boilerplate_words`` and holds
+    boilerplate.  A document goes when over ``lost`` of its words stand in failing lines.
     """
 
     prose_words: int = 25
@@ -48,6 +52,9 @@ class LineRules:
     judged_words: int = 4
     distinct: float = 0.35
     repeat_words: int = 12
+    varied_words: int = 40
+    navigation_words: int = 6
+    boilerplate_words: int = 40
     lost: float = 0.5
 
 
@@ -57,19 +64,42 @@ def line_fails(line: str, words: list[bytes], rules: LineRules) -> bool:
         return True
     if sum(map(line.count, SYMBOLS)) > rules.symbols_per_word * n:
         return True
-    if n >= rules.repeat_words and len(set(words)) < rules.distinct * n and len(set(words)) < 40:
+    if n >= rules.repeat_words and len(set(words)) < min(rules.distinct * n, rules.varied_words):
         return True
     if n >= rules.judged_words and not line.islower():
         upper = sum(map(str.isupper, line))
         if 2 * upper > n and upper > rules.capitals * sum(map(str.isalpha, line)):
             return True
-    if n <= 6 and NAVIGATION.match(line):
+    if n <= rules.navigation_words and NAVIGATION.match(line):
         return True
-    return n <= 40 and BOILERPLATE.search(line) is not None
+    return n <= rules.boilerplate_words and BOILERPLATE.search(line) is not None
+
+
+def repeated_words_long(words: list[bytes], window: int = WINDOW) -> int:
+    """:func:`repeated_words` of a long text in some bytes a word: hashes of windows, and those that meet compared."""
+    ids: dict[bytes, int] = {}
+    a = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+    m = len(a) - window + 1
+    h = np.zeros(m, np.uint64)
+    for k in range(window):
+        h = h * MIX + a[k : k + m].astype(np.uint64) + np.uint64(1)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    at = np.sort(order[np.r_[same, False] | np.r_[False, same]])
+    if not len(at):
+        return 0
+    _, which, often = np.unique(a[at[:, None] + np.arange(window)], axis=0, return_inverse=True, return_counts=True)
+    at = at[often[which.ravel()] > 1]
+    edges = np.zeros(len(a) + 1, np.int64)
+    edges[at] += 1
+    edges[at + window] -= 1
+    return int((np.cumsum(edges) > 0).sum())
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words that stand in a window of ``window`` words found twice or more in the text."""
+    if len(words) > LONG_WORDS:
+        return repeated_words_long(words, window)
     grams = list(zip(*[words[k:] for k in range(window)]))
     if len(set(grams)) == len(grams):
         return 0
