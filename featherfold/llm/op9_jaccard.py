@@ -228,7 +228,7 @@ def _profile(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         for batch in rows_of(batches):
             sets = [shingle_set(t, n, hashes) for t in strings(batch.column(2))]
             if sum(map(len, sets)):
-                np.add.at(counts, slot(np.concatenate(sets)), 1)
+                np.add.at(counts, slot(np.concatenate(sets)), np.int32(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
