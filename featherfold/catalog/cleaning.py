@@ -12,6 +12,7 @@ from ..operators.combine import keep_members
 from ..operators.outliers import (
     extreme_values, log_of_negatives, negative_flag_rate, outlier_report, parents_of, rows_at_extremes,
 )
+from ..operators.dictionary import DictionaryEncoder
 from .base import credit, credit_sql, q, query, table
 
 
@@ -237,3 +238,17 @@ def p14(spark, d):
 def p15(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     return OneHotEncoder.fit(df).transform(df)
+
+
+@query(
+    "p15_dictionary_index",
+    """WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN c_name END AS name, c_mktsegment FROM customer),
+    n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM (SELECT DISTINCT name FROM v WHERE name IS NOT NULL)),
+    m AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS i FROM (SELECT DISTINCT c_mktsegment FROM v WHERE c_mktsegment IS NOT NULL))
+    SELECT c_custkey, coalesce(n.i, (SELECT count(*) FROM n)) AS name_index, coalesce(m.i, (SELECT count(*) FROM m)) AS c_mktsegment_index
+    FROM v LEFT JOIN n USING (name) LEFT JOIN m USING (c_mktsegment)""",
+)
+def p15_dictionary(spark, d):
+    """Numbers of the values of a column of as many values as rows, some missing, and of one of few."""
+    df = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 10 != 0, F.col("c_name")).alias("name"))
+    return DictionaryEncoder.fit(df, ["name", "c_mktsegment"]).index(df).select("c_custkey", "name_index", "c_mktsegment_index")

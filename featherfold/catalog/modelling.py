@@ -23,6 +23,7 @@ from .base import bucket_sql, query, table
 from .ordering import SCORES_SQL, model_scores
 from .screening import CUSTOMER_X, LINES_SQL, customers, lines
 
+TRIALS = 32  # fixed value: parameter maps that a search tries
 MODELS = list(BLEND_WEIGHTS)
 KEY, LABEL = "c_custkey", "TARGET"
 
@@ -43,7 +44,7 @@ def m1(spark, d):
 def m4(spark, d):
     df = customers(spark, d)
     train, test = hold_out(df, KEY, 0.7)
-    model = pipeline(CUSTOMER_X, boosted_trees(LABEL, maxIter=20, maxDepth=4, maxBins=64), ["c_mktsegment"]).fit(train)
+    model = pipeline(CUSTOMER_X, boosted_trees(LABEL, maxBins=64), ["c_mktsegment"]).fit(train)
     return positive_score(model.transform(test)).select(KEY, LABEL, "score")
 
 
@@ -164,14 +165,14 @@ def m10(spark, d):
 @query("m11_random_forest_scores")
 def m11(spark, d):
     df = assemble(customers(spark, d), CUSTOMER_X)
-    return OutOfFold(random_forest(LABEL, numTrees=40, maxDepth=5), KEY, LABEL, "RF", folds=3).run(df).oof
+    return OutOfFold(random_forest(LABEL), KEY, LABEL, "RF").run(df).oof
 
 
 @query("m11_perceptron_scores")
 def m11b(spark, d):
     df = customers(spark, d)
     df = assemble(Standardizer.fit(df, CUSTOMER_X).transform(df), CUSTOMER_X)
-    return OutOfFold(perceptron(LABEL, len(CUSTOMER_X), (20,), maxIter=50), KEY, LABEL, "MLP", folds=2).run(df).oof
+    return OutOfFold(perceptron(LABEL, len(CUSTOMER_X)), KEY, LABEL, "MLP").run(df).oof
 
 
 @query(
@@ -263,7 +264,7 @@ def m17(spark, d):
 def m18(spark, d):
     data = assemble(with_fold(customers(spark, d), KEY, 2), CUSTOMER_X)
     gbt = boosted_trees(LABEL, maxIter=5)
-    maps = random_maps({gbt.maxDepth: [2, 3, 4], gbt.stepSize: lambda r: round(0.05 + 0.3 * r.random(), 3)}, 4)
+    maps = random_maps({gbt.maxDepth: [2, 3, 4], gbt.stepSize: lambda r: round(0.05 + 0.3 * r.random(), 3)}, TRIALS)
     return search_table(search(gbt, maps, data, LABEL, folds=2), spark, maps)
 
 
@@ -272,7 +273,7 @@ def m18b(spark, d):
     """Trials on the train rows, and the winner's AUC on rows that no trial saw."""
     train, held = hold_out(assemble(customers(spark, d), CUSTOMER_X), KEY, 0.75)
     gbt = boosted_trees(LABEL, maxIter=5)
-    maps = grid({gbt.maxDepth: [2, 4]})
+    maps = random_maps({gbt.maxDepth: [2, 3, 4], gbt.stepSize: lambda r: round(0.05 + 0.3 * r.random(), 3)}, TRIALS)
     found = search(gbt, maps, train, LABEL, folds=3, key=KEY)
     best = search_table(found, spark, maps).limit(1)  # the winner alone
     return best.withColumn("held_auc", F.lit(winner_auc(found, held, LABEL)).cast("double"))

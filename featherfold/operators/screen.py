@@ -35,7 +35,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     One pass over the data for any number of columns: each task adds up, for all pairs at once,
     the counts, sums, squares and products of the rows where both are present, of values less the
-    column's mean in units of its deviation.  r is NULL where a column does not vary.
+    column's mean in units of its deviation.  The scan runs in as many tasks as a shuffle is wide, so what is
+    shuffled grows with the cluster and not with the data.  r is NULL where a column does not vary.
     """
     columns = list(columns)
     k = len(columns)
@@ -68,7 +69,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 total[at] = total.get(at, 0) + np.array(parts)
         yield from rows(total)
 
-    sums = wide.mapInArrow(add_up, schema).repartition("at").mapInArrow(merge, schema)
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    sums = wide.coalesce(width).mapInArrow(add_up, schema).repartition("at").mapInArrow(merge, schema)
     # a pair needs the row of either column: what column a sums up where b is present, and the other way round
     cell = sums.select("at", F.posexplode(F.arrays_zip("n", "x", "xx", "xy")).alias("with", "s"))
     one = cell.where("at < with").select(F.col("at").alias("i"), F.col("with").alias("j"), F.col("s").alias("p"))
