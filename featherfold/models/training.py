@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -17,8 +18,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidator
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.scalar import as_col, hash_bucket
 from .metrics import auc_value, fold_metrics
@@ -127,11 +130,16 @@ def _identity(df: DataFrame) -> list:
     return [df.dtypes, *[str(v) for v in df.agg(F.count(F.lit(1)), total).first()]]
 
 
+MANIFEST = "run string, fold int, parts string"
+
+
 class OutOfFold:
     """K-fold scores of a learner: every train id once, test ids averaged over folds.
 
+    ``parallelism`` folds are fitted at a time, as concurrent jobs over one cached frame.
+
     With ``store`` (a folder in shared storage) each fold's model and scores are written as
-    ``model=<name>/run=<digest>/fold=<i>`` and a rerun skips the folds that are complete.  The digest
+    ``model=<name>/run=<digest>/fold=<i>`` and a rerun skips the folds that the table ``manifest`` tells as complete.  The digest
     covers folds, seed, parameters, columns and rows, so a run never meets the folds of another one;
     finding it reads both frames once.  ``metrics`` and ``importances`` cover finished folds as well,
     as their models are read back.  Without a store the results stay lazy over the fitted models.
@@ -142,19 +150,25 @@ class OutOfFold:
 
     def __init__(
         self, estimator: Estimator, key: str, label: str, name: str = "score", folds: int = 5, seed: int = 250,
-        store: str | None = None, early_stopping: bool = False,
+        store: str | None = None, early_stopping: bool = False, parallelism: int = 2,
     ):
-        self.estimator, self.key, self.label, self.name = estimator, key, label, name
+        self.estimator, self.key, self.label, self.name, self.parallelism = estimator, key, label, name, parallelism
         self.folds, self.seed, self.store, self.early_stopping = folds, seed, store, early_stopping
         if early_stopping and not estimator.hasParam("validationIndicatorCol"):
             raise ValueError("this learner takes no validation rows")
         self.models: dict[int, PipelineModel] = {}
         self.fitted: list[int] = []
 
-    def _done(self, spark: SparkSession, path: str) -> bool:
-        jvm = spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    def _finished(self, spark: SparkSession, parts: str) -> set[int]:
+        """Folds of this run that the store's manifest tells as complete with ``parts``."""
+        try:
+            rows = spark.read.schema(MANIFEST).parquet(f"{self.store}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return set()
+            raise
+        own = rows.where((F.col("run") == self._run) & (F.col("parts") == parts))
+        return {r["fold"] for r in own.select("fold").distinct().collect()}
 
     def _base(self, train: DataFrame, test: DataFrame | None) -> str:
         told = [
@@ -179,27 +193,38 @@ class OutOfFold:
         spark = train.sparkSession
         self._run = self._base(train, test) if self.store else None
         lazy = with_fold(train, self.key, self.folds, self.seed)
-        todo = []
-        for i in range(self.folds):
-            base = f"{self._run}/fold={i}"
-            if self._run and self._done(spark, f"{base}/part=test" if test is not None else f"{base}/part=oof"):
-                self.models[i] = PipelineModel.load(f"{base}/model")
-            else:
-                todo.append(i)
+        parts = "oof" if test is None else "oof, test"
+        finished = self._finished(spark, parts) if self._run else set()
+        for i in sorted(finished):
+            self.models[i] = PipelineModel.load(f"{self._run}/fold={i}/model")
+        todo = [i for i in range(self.folds) if i not in finished]
         if todo:
             data = lazy.persist(StorageLevel.MEMORY_AND_DISK)
+
+            def one(i: int) -> PipelineModel:
+                model = self._fit(data, i)
+                if self._run:
+                    base = f"{self._run}/fold={i}"
+                    model.write().overwrite().save(f"{base}/model")
+                    oof = self._scored(model, data.where(F.col("fold") == i), "fold", self.label)
+                    oof.write.mode("overwrite").parquet(f"{base}/part=oof")
+                    if test is not None:
+                        self._scored(model, test).write.mode("overwrite").parquet(f"{base}/part=test")
+                return model
+
             try:
-                for i in todo:
-                    model = self.models[i] = self._fit(data, i)
-                    self.fitted.append(i)
-                    if self._run:
-                        base = f"{self._run}/fold={i}"
-                        model.write().overwrite().save(f"{base}/model")
-                        oof = self._scored(model, data.where(F.col("fold") == i), "fold", self.label)
-                        oof.write.mode("overwrite").parquet(f"{base}/part=oof")
-                        if test is not None:
-                            self._scored(model, test).write.mode("overwrite").parquet(f"{base}/part=test")
+                # folds are jobs of their own over one cached frame; each thread keeps the caller's job properties
+                with ThreadPoolExecutor(max(1, self.parallelism)) as pool:
+                    jobs = {pool.submit(inheritable_thread_target(spark)(one), i): i for i in todo}
+                    for job in as_completed(jobs):
+                        i = jobs[job]
+                        self.models[i] = job.result()
+                        self.fitted.append(i)
+                        if self._run:  # told by this thread alone, once all of the fold is there
+                            row = spark.range(1).select(F.lit(self._run).alias("run"), F.lit(i).alias("fold"), F.lit(parts).alias("parts"))
+                            row.write.mode("append").parquet(f"{self.store}/manifest")
             finally:
+                self.fitted.sort()
                 data.unpersist()
         self._train = lazy
         self.oof = self._oof_scores(spark, lazy)
@@ -243,7 +268,7 @@ class OutOfFold:
         """(feature, importance): mean of all fold models' importances."""
         spark = self.oof.sparkSession
         rows = []
-        for model in self.models.values():
+        for _, model in sorted(self.models.items()):
             rows += [(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray())]
         table = spark.createDataFrame(rows, "feature string, importance double")
         return table.groupBy("feature").agg(F.avg("importance").alias("importance"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
@@ -61,11 +63,16 @@ def gather_scores(spark: SparkSession, folder: str, key: str, models: Sequence[s
 
 def score_models(spark: SparkSession, folder: str, ending: str, without: Sequence[str] = ()) -> list[str]:
     """Sorted names of all models with a score file or folder ``<model>_<ending>`` in a folder, but those named."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath().getName() for s in store.listStatus(path)]
-    tail = f"_{ending}"
-    return sorted(n[: -len(tail)] for n in found if n.endswith(tail) and n[: -len(tail)] not in set(without))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/*_{ending}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    # the path alone is read; a score file is the name itself or lies in a folder of that name
+    name = F.regexp_extract("path", rf"/([^/]*)_{re.escape(ending)}(?:/[^/]*)?$", 1)
+    found = {r["model"] for r in files.select(name.alias("model")).distinct().collect()}  # a name per model
+    return sorted(m for m in found if m and m not in set(without))
 
 
 def gather_csv_scores(
