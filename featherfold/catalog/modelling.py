@@ -254,10 +254,13 @@ def m16b(spark, d):
     return OutOfFold(decision_tree("y", maxDepth=5), KEY, "y", "score").run(data).oof.select(KEY, "fold", "score")
 
 
+STRENGTHS = [0.0001, 0.001, 0.01, 0.1, 1, 10, 100, 1000]  # fixed values
+
+
 @query("m17_penalty_sweep")
 def m17(spark, d):
     train, test = hold_out(labelled_scores(spark, d), KEY, 0.75)
-    return penalty_sweep(train, test, ["LGB", "XG", "RF"], "y", [0.0001, 0.001, 0.01, 0.1, 1, 10, 100, 1000])
+    return penalty_sweep(train, test, ["LGB", "XG", "RF"], "y", STRENGTHS)
 
 
 @query("m18_parameter_search")
@@ -300,3 +303,69 @@ def m19(spark, d):
 def m20(spark, d):
     df = table(spark, d, "customer").select(KEY, F.when(F.col("c_acctbal") < 0, 1).otherwise(0).alias("y"))
     return class_weights(class_weights(df, "y"), "y", 5, "scaled")
+
+
+# --- what is exact of the learners' results: every row once, its fold, its score inside [0, 1] -------------------
+
+
+def _inside(df, score: str, *keep: str):
+    return df.select(*keep, F.col(score).between(0, 1).alias("inside"))
+
+
+def _folds_sql(folds: int, rows: str = "customer") -> str:
+    return f"SELECT c_custkey, {bucket_sql('c_custkey', folds, 250)} AS fold, true AS inside FROM {rows}"
+
+
+_HELD = f"{bucket_sql('c_custkey', 1000, 666)} >= "
+
+
+@query("m4_scores_of_held_rows", f"SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS \"TARGET\", true AS inside FROM customer WHERE {_HELD} 700")
+def m4_rows(spark, d):
+    """The pipeline scores the rows that it was not fitted on, and those alone."""
+    return _inside(m4(spark, d), "score", KEY, LABEL)
+
+
+@query("m10_scores_of_all_rows", "SELECT c_custkey, true AS inside FROM customer")
+def m10_rows(spark, d):
+    return _inside(m10(spark, d), "score", KEY)
+
+
+@query("m11_forest_folds", _folds_sql(5))
+def m11_rows(spark, d):
+    return _inside(m11(spark, d), "RF", KEY, "fold")
+
+
+@query("m11_perceptron_folds", _folds_sql(5))
+def m11b_rows(spark, d):
+    return _inside(m11b(spark, d), "MLP", KEY, "fold")
+
+
+@query("m15_stacked_folds", _folds_sql(3))
+def m15_rows(spark, d):
+    return _inside(m15(spark, d), "stacked", KEY, "fold")
+
+
+@query("m16_tree_folds", f"WITH {SCORES_SQL} {_folds_sql(5, 'scores')}")
+def m16_rows(spark, d):
+    return _inside(m16b(spark, d), "score", KEY, "fold")
+
+
+@query("m16_logistic_rows", f"WITH {SCORES_SQL} SELECT c_custkey, true AS inside FROM scores")
+def m16b_rows(spark, d):
+    return _inside(m16(spark, d), "score", KEY)
+
+
+@query("m18_trials", f"SELECT CAST(i AS INTEGER) AS trial, true AS inside FROM range({TRIALS}) t(i)")
+def m18_rows(spark, d):
+    """Each trial of the search is told once, with an area under the curve in [0, 1]."""
+    return _inside(m18(spark, d), "auc", "trial")
+
+
+@query(
+    "m17_penalties",
+    f"SELECT CAST(c AS DOUBLE) AS c, true AS inside, true AS normalised FROM (SELECT unnest([{', '.join(f'{float(c)!r}::DOUBLE' for c in STRENGTHS)}]) AS c)",
+)
+def m17_rows(spark, d):
+    """Each penalty once, with an area under the curve in [0, 1] and coefficients that sum to 1."""
+    total = F.abs(F.col("LGB") + F.col("XG") + F.col("RF") - 1) < 1e-9
+    return m17(spark, d).select("c", F.col("auc").between(0, 1).alias("inside"), total.alias("normalised"))

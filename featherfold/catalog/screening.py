@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..models.training import boosted_trees, pipeline
@@ -186,3 +187,36 @@ def f11(spark, d):
     df = customers(spark, d)
     model = pipeline(CUSTOMER_X, boosted_trees("TARGET", maxIter=10, maxDepth=3)).fit(df)
     return permutation_importance(model, df.select("c_custkey", "TARGET", *CUSTOMER_X), CUSTOMER_X, "c_custkey", "TARGET")
+
+
+# --- what is exact of the learners' rankings: every feature once, scaled to [0, 1] with both ends taken -----------------
+
+
+def _scaled_sql(features) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS scaled" for c in features)
+
+
+def _scaled(ranks):
+    ends = F.collect_set("importance").over(Window.partitionBy())  # a row per feature
+    return ranks.select("feature", (F.col("importance").between(0, 1) & F.array_contains(ends, 0.0) & F.array_contains(ends, 1.0)).alias("scaled"))
+
+
+@query("f6_lasso_features", _scaled_sql(FEATURES))
+def f6_rows(spark, d):
+    return _scaled(f6(spark, d))
+
+
+@query("f7_forest_features", _scaled_sql(CUSTOMER_X))
+def f7_rows(spark, d):
+    return _scaled(f7(spark, d))
+
+
+@query("f8_boosted_features", _scaled_sql(CUSTOMER_X))
+def f8_rows(spark, d):
+    return _scaled(f8(spark, d))
+
+
+@query("f11_permuted_features", " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS bounded" for c in CUSTOMER_X))
+def f11_rows(spark, d):
+    """Each feature once; what is lost or won of an area under the curve is at most 1."""
+    return f11(spark, d).select("feature", F.col("importance").between(-1, 1).alias("bounded"))
