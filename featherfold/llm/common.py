@@ -33,6 +33,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Working tables of one job in the shared folder, which :meth:`clear` empties once nothing reads them.
+
+    An empty table is written over each, as Spark's writer reaches any storage that its readers reach.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def folder(self, spark: SparkSession, name: str) -> str:
+        self.paths.append(shared_dir(spark, name))
+        return self.paths[-1]
+
+    def write(self, df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+        """As :func:`materialize`; a ``folder`` of this job, whose rows ``df`` must not read, is written over."""
+        path = folder or self.folder(df.sparkSession, name)
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def clear(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+        self.paths = []
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of, strings, text_of
+from .common import Scratch, materialize, rows_of, strings, text_of
 
 SLOT_BITS = 20
 SLICE = 4096
@@ -306,17 +306,17 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
     return docs.select("text").mapInArrow(run, "token long, mark long")
 
 
-def _members(rows: DataFrame, reps: DataFrame, block_size: int) -> tuple[DataFrame, DataFrame]:
+def _members(rows: DataFrame, reps: DataFrame, block_size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(hub, mark, n, common, chunks): members of blocks, with set size, how many prefix tokens a member
     shares with anyone, and how many parts the block gets; and (mark, n, tokens), those tokens."""
     hubs = rows.groupBy("token").agg(F.min("mark").alias("hub"), F.max("mark").alias("most")).where("hub < most")
-    shared = materialize(rows.join(hubs.select("token", "hub"), "token").select("hub", "mark", "token"), "jaccard-shared")
+    shared = scratch.write(rows.join(hubs.select("token", "hub"), "token").select("hub", "mark", "token"), "jaccard-shared")
     held = shared.groupBy("mark").agg(F.collect_set("token").alias("tokens"))  # bounded by a set's prefix
-    held = materialize(held.join(reps.select("mark", "n"), "mark").select("mark", "n", "tokens"), "jaccard-held")
-    pairs = materialize(shared.select("hub", "mark").distinct(), "jaccard-pairs")
+    held = scratch.write(held.join(reps.select("mark", "n"), "mark").select("mark", "n", "tokens"), "jaccard-held")
+    pairs = scratch.write(shared.select("hub", "mark").distinct(), "jaccard-pairs")
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_size)).cast("int").alias("chunks"))
     common = held.select("mark", "n", F.size("tokens").alias("common"))
-    return materialize(pairs.join(common, "mark").join(sizes, "hub"), "jaccard-members"), held
+    return scratch.write(pairs.join(common, "mark").join(sizes, "hub"), "jaccard-members"), held
 
 
 def by_block(frame: DataFrame, work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
@@ -381,13 +381,13 @@ def _promising(placed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return by_block(blocks.join(held, "mark").select("block", "mark", "n", "tokens"), count, "block string, mark long")
 
 
-def _walk(placed: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _walk(placed: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between nodes of classes, a star per component and block.
 
     ``placed`` is (block string, mark).  A representative's text goes to all its blocks as a set.
     """
     wanted = placed.join(reps.select("mark", "rep", "text_key"), "mark").select("block", "mark", "rep", "text_key")
-    wanted = materialize(wanted, "jaccard-placed")
+    wanted = scratch.write(wanted, "jaccard-placed")
     # a row without an id is told by its text
     ids = wanted.select(F.coalesce("rep", F.xxhash64("text_key")).alias("told")).distinct()
     # other texts need not travel: by a broadcast where the ids are few, else by a shuffle
@@ -443,15 +443,19 @@ def _mark() -> Column:
     return F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for links (a, b) of any ordered type: the least node that links reach, by alternating stars.
 
-    Nodes without links are absent.  Rounds grow with the logarithm of the longest chain.
+    Nodes without links are absent.  Rounds grow with the logarithm of the longest chain.  They take turns
+    in two folders, each written over the round before the last, so what is stored doesn't grow with them.
     """
+    scratch = scratch or Scratch()
+    folders = [scratch.folder(edges.sparkSession, "stars") for _ in range(2)]
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = materialize(edges, "stars")
+    edges = scratch.write(edges, "stars", folders[0])
     mark = None
     while True:
+        folders.reverse()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -459,7 +463,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "stars")
+        edges = scratch.write(small.where("u <> v").distinct(), "stars", folders[0])
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -485,6 +489,7 @@ def jaccard_components(
 
 def _grouped(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block_size: int = 256) -> DataFrame:
     """The rows of :func:`jaccard_components`, with the least node of the component as ``group``; NULL for empty sets."""
+    scratch = Scratch()
     docs = docs.select(
         F.col(id_col).cast("long").alias("id"), F.md5(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text")
     )
@@ -493,14 +498,14 @@ def _grouped(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     reps = profile.where("n > 0").groupBy("class").agg(first, F.first("n").alias("n"))
     reps = materialize(reps.select("class", _mark().alias("mark"), F.col("first.id").alias("rep"), F.col("first.text_key").alias("text_key"), "n"), "classes")
 
-    rows = materialize(_prefixes(docs, n, percent, counts), "prefixes")
-    members, held = _members(rows, reps, block_size)
+    rows = scratch.write(_prefixes(docs, n, percent, counts), "prefixes")
+    members, held = _members(rows, reps, block_size, scratch)
     own = F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int")
     spread = F.when(F.col("hub") == F.col("mark"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     placed = members.withColumn("chunk", F.explode(spread))
     placed = _promising(placed.select(F.concat_ws(":", "hub", "chunk").alias("block"), "mark", "n", "common"), held, percent)
-    links = materialize(_walk(placed, reps, docs, n, percent).union(_same_id(profile, reps)), "links")
-    found = materialize(components(links), "components")
+    links = scratch.write(_walk(placed, reps, docs, n, percent, scratch).union(_same_id(profile, reps)), "links")
+    found = materialize(components(links, scratch), "components")
 
     split = members.where("chunks > 1").join(reps.select("mark", _node("rep", "mark").alias("node")), "mark")
     split = split.join(found, "node", "left")
@@ -508,7 +513,7 @@ def _grouped(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     parts = split.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = main.where("most < all").select("hub", "main", F.ceil((F.col("all") - F.col("most")) / F.lit(block_size)).cast("int").alias("strays"))
-    open_ = materialize(split.join(main, "hub"), "strays")
+    open_ = scratch.write(split.join(main, "hub"), "strays")
     if not open_.isEmpty():
         stray = F.pmod(F.xxhash64("mark"), F.col("strays")).cast("int")
         named = ["hub", "mark", "n", "common"]
@@ -516,8 +521,9 @@ def _grouped(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
         lone = lone.select(*named, stray.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
         rest = open_.select(*named, F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), own.alias("j"))
         placed = lone.union(rest).select(F.concat_ws(":", "hub", "i", "j").alias("block"), "mark", "n", "common").distinct()
-        more = _walk(_promising(placed, held, percent), reps, docs, n, percent)
-        found = components(links.union(more))
+        more = _walk(_promising(placed, held, percent), reps, docs, n, percent, scratch)
+        found = materialize(components(links.union(more), scratch), "components")
+    scratch.clear(docs.sparkSession)  # what follows reads the profile, the classes and their components alone
 
     by_class = reps.select("class", _node("rep", "mark").alias("node")).join(found, "node", "left")
     by_class = by_class.select("class", F.coalesce("component", "node").alias("group"))
