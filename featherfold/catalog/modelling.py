@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..models.blending import best_weights, blend, penalty_sweep, score_weights, weight_vectors
 from ..models.metrics import auc, fold_metrics
 from ..models.neighbours import neighbour_share
+from ..models.stacking import first_level, stacked, stacked_once
 from ..models.training import (
     OutOfFold, assemble, boosted_trees, class_weights, decision_tree, grid, hold_out, logistic, normalised_importances,
     perceptron, pipeline, positive_score, random_forest, random_maps, search, search_table, winner_auc,
@@ -254,6 +255,29 @@ def m16b(spark, d):
     return OutOfFold(decision_tree("y", maxDepth=5), KEY, "y", "score").run(data).oof.select(KEY, "fold", "score")
 
 
+def _two_levels(spark, d):
+    """Train and test rows of the customers with out-of-fold scores of two first-level models."""
+    train, test = hold_out(customers(spark, d), KEY, 0.75)
+    models = {"RF": random_forest(LABEL, numTrees=50), "LR": logistic(LABEL, regParam=0.01)}
+    return first_level(train, test.drop(LABEL), CUSTOMER_X, KEY, LABEL, models, folds=3)
+
+
+@query("m15_stacked_test_scores")
+def m15c(spark, d):
+    """Rows that neither level was fitted on, scored by boosted trees over features and first-level scores."""
+    learner = boosted_trees(LABEL, maxIter=40, maxDepth=3, validationTol=0.001)
+    return stacked(*_two_levels(spark, d), [*CUSTOMER_X, "RF", "LR"], KEY, LABEL, learner, folds=3, early_stopping=True).test
+
+
+@query("m16_stacked_test_scores")
+def m16c(spark, d):
+    """Rows that neither level was fitted on, scored from first-level scores alone."""
+    train, test = _two_levels(spark, d)
+    lr = logistic(LABEL)
+    line = stacked_once(train, test, ["RF", "LR"], KEY, LABEL, lr, {lr.regParam: [0.0, 0.01, 0.1]}, "logistic")
+    return line.join(stacked_once(train, test, ["RF", "LR"], KEY, LABEL, decision_tree(LABEL, maxDepth=5), name="tree"), KEY)
+
+
 STRENGTHS = [0.0001, 0.001, 0.01, 0.1, 1, 10, 100, 1000]  # fixed values
 
 
@@ -355,6 +379,21 @@ def m16b_rows(spark, d):
     return _inside(m16(spark, d), "score", KEY)
 
 
+_TEST_ROWS = f"SELECT c_custkey, true AS inside FROM customer WHERE {_HELD} 750"
+
+
+@query("m15_stacked_test_rows", _TEST_ROWS)
+def m15c_rows(spark, d):
+    """Each held row has a second-level score, and no other row has one."""
+    return _inside(m15c(spark, d), "stacked", KEY)
+
+
+@query("m16_stacked_test_rows", _TEST_ROWS)
+def m16c_rows(spark, d):
+    both = F.col("logistic").between(0, 1) & F.col("tree").between(0, 1)
+    return m16c(spark, d).select(KEY, both.alias("inside"))
+
+
 @query("m18_trials", f"SELECT CAST(i AS INTEGER) AS trial, true AS inside FROM range({TRIALS}) t(i)")
 def m18_rows(spark, d):
     """Each trial of the search is told once, with an area under the curve in [0, 1]."""
