@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 
-from .training import FEATURES, OutOfFold, assemble, grid, positive_score, search
+from .training import FEATURES, OutOfFold, assemble, grid, positive_score, search, training_rows
 
 
 def first_level(
@@ -53,5 +53,6 @@ def stacked_once(
     if space:
         model = search(learner, grid(space), data, label, folds=folds, key=key).bestModel
     else:
-        model = learner.fit(data)
+        with training_rows(data) as rows:
+            model = learner.fit(rows)
     return positive_score(model.transform(assemble(test, columns)), name).select(key, name)
