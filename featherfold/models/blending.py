@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bin_count
 from .metrics import auc, auc_value
 from .training import assemble, logistic, positive_score
 
@@ -32,14 +33,16 @@ def weight_vectors(models: Sequence[str], n: int, seed: int = 0) -> list[dict[st
 def score_weights(scores: DataFrame, label: str, vectors: Sequence[Mapping[str, float]]) -> DataFrame:
     """(vector, loss): 1 - AUC of every weight vector, all in one job.
 
-    Each row is repeated once per vector, a number the caller sets.
+    Each row is repeated once per vector, a number the caller sets.  Before that the rows are dealt out to a fixed
+    number of tasks: parts that were joined up for their size would grow by that number in one task.
     """
     models = list(vectors[0])
     literals = F.array(
         *[F.struct(F.lit(i).alias("vector"), *[F.lit(float(v[m])).alias(f"__w_{m}") for m in models])
           for i, v in enumerate(vectors)]
     )
-    rows = scores.select(label, *models, F.inline(literals))
+    dealt = scores.select(label, *models).repartition(bin_count(scores.sparkSession))
+    rows = dealt.select(label, *models, F.inline(literals))
     total = sum((F.col(m) * F.col(f"__w_{m}") for m in models), F.lit(0.0))
     rows = rows.select("vector", label, total.alias("__blend"))
     return auc(rows, "__blend", label, ["vector"]).select("vector", (1 - F.col("auc")).alias("loss"))
