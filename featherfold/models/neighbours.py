@@ -25,6 +25,8 @@ from ..session import shared_dir
 BLOCK_ROWS = 20_000
 MOST_PIVOTS = 2048  # rows that every task holds
 SLACK = 1e-9
+MOST_ENTRIES = 1 << 20  # of a matrix of distances that a task holds
+MOST_PAIRS = 1 << 14  # rows of a frame that a task hands on
 
 
 def pivot_count(rows: int) -> int:
@@ -37,6 +39,14 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def _pieces(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """Batches cut so that a matrix of their rows and ``width`` columns stays bounded."""
+    step = max(1, MOST_ENTRIES // width)
+    for b in batches:
+        for start in range(0, len(b), step):
+            yield b.iloc[start:start + step].copy()
+
+
 def _compare(left: DataFrame, right: DataFrame, k: int, block_rows: int) -> DataFrame:
     """(query, neighbour, distance): the k nearest of each block of each cell, for rows and queries (.., cell)."""
     count = lambda df: {int(r["cell"]): max(1, -(-int(r["n"]) // block_rows)) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -66,7 +76,7 @@ def _compare(left: DataFrame, right: DataFrame, k: int, block_rows: int) -> Data
         if len(x) and len(q):
             data, nid, group = np.vstack(x["vec"].to_numpy()), x["nid"].to_numpy(), x["grp"].to_numpy()
             asked = np.vstack(q["vec"].to_numpy())
-            step = max(1, (1 << 22) // len(data))
+            step = max(1, MOST_ENTRIES // len(data))
             for start in range(0, len(asked), step):
                 some = slice(start, start + step)
                 rough = squared_distances(asked[some], data)
@@ -112,13 +122,12 @@ def nearest(
     centres = np.unique(np.array([r["vec"] for r in picked], dtype=float), axis=0)
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.vstack(b["vec"].to_numpy())
-                cell = squared_distances(x, centres).argmin(axis=1)
-                b["cell"] = cell.astype("int32")
-                b["reach"] = np.sqrt(((x - centres[cell]) ** 2).sum(axis=1))
-                yield b
+        for b in _pieces(batches, len(centres)):
+            x = np.vstack(b["vec"].to_numpy())
+            cell = squared_distances(x, centres).argmin(axis=1)
+            b["cell"] = cell.astype("int32")
+            b["reach"] = np.sqrt(((x - centres[cell]) ** 2).sum(axis=1))
+            yield b
 
     cells = base.mapInPandas(to_cells, "nid long, vec array<double>, grp int, cell int, reach double")
     # pivots x groups rows at most
@@ -134,11 +143,10 @@ def nearest(
     none = np.zeros(len(centres), dtype=np.int64)
 
     def own_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                d = squared_distances(np.vstack(b["vec"].to_numpy()), centres[filled])
-                b["cell"] = filled[d.argmin(axis=1)].astype("int32")
-                yield b
+        for b in _pieces(batches, len(centres)):
+            d = squared_distances(np.vstack(b["vec"].to_numpy()), centres[filled])
+            b["cell"] = filled[d.argmin(axis=1)].astype("int32")
+            yield b
 
     placed = asked.mapInPandas(own_cell, "qid long, vec array<double>, grp int, cell int")
     first = _stored(_compare(cells, placed, k, block_rows), "neighbours-own")
@@ -148,9 +156,7 @@ def nearest(
     between = np.sqrt(squared_distances(centres, centres))
 
     def to_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _pieces(batches, len(centres)):
             x, mine = np.vstack(b["vec"].to_numpy()), b["cell"].to_numpy()
             d = np.sqrt(squared_distances(x, centres))
             bound = b["bound"].to_numpy(dtype=float, na_value=np.inf)
@@ -169,10 +175,12 @@ def nearest(
             least = np.maximum(d - radii, plane)
             keep = (sizes > 0) & (least <= bound[:, None] * (1 + SLACK) + 1e-7 * (1 + nearest_cell))
             keep[np.arange(len(x)), mine] = False
-            row, col = np.nonzero(keep)
-            yield pd.DataFrame(
-                {"qid": b["qid"].to_numpy()[row], "vec": b["vec"].to_numpy()[row], "grp": b["grp"].to_numpy()[row], "cell": col.astype("int32")}
-            )
+            rows, cols = np.nonzero(keep)
+            for start in range(0, len(rows), MOST_PAIRS):  # a query may go to most cells, with a copy of its vector each
+                row, col = rows[start:start + MOST_PAIRS], cols[start:start + MOST_PAIRS]
+                yield pd.DataFrame(
+                    {"qid": b["qid"].to_numpy()[row], "vec": b["vec"].to_numpy()[row], "grp": b["grp"].to_numpy()[row], "cell": col.astype("int32")}
+                )
 
     bounded = placed.join(bounds, "qid", "left").select("qid", "vec", "grp", "cell", "bound")
     others = _stored(bounded.mapInPandas(to_others, "qid long, vec array<double>, grp int, cell int"), "neighbours-others")
