@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 
-from .training import FEATURES, OutOfFold, assemble, grid, positive_score, search, training_rows
+from .training import FEATURES, OutOfFold, assemble, grid, positive_score, search, stored_rows, training_rows
 
 
 def first_level(
@@ -17,18 +17,20 @@ def first_level(
     """(train, test) with a score column per model, joined by the id ``key``, which is unique in each.
 
     A train row has the score of the fold model that was not fitted on it, a test row the mean over the fold
-    models.  Columns of ``train`` that a model's name would repeat are refused.
+    models.  Columns of ``train`` that a model's name would repeat are refused.  Both frames are read once and
+    come back stored, so that a second level neither joins nor scores again for each of its passes.
     """
     clash = set(models) & set(train.columns)
     if clash:
         raise ValueError(f"models named as columns: {sorted(clash)}")
+    train, test = stored_rows(train, "level-train"), stored_rows(test, "level-test")
     data = assemble(train, features).select(key, label, FEATURES)
     held = assemble(test, features).select(key, FEATURES)
     for name, learner in models.items():
         run = OutOfFold(learner, key, label, name, folds, seed, store).run(data, held)
         train = train.join(run.oof.select(key, name), key, "left")
         test = test.join(run.test.select(key, name), key, "left")
-    return train, test
+    return stored_rows(train, "level-train"), stored_rows(test, "level-test")
 
 
 def stacked(
