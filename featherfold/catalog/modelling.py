@@ -11,8 +11,8 @@ from ..models.neighbours import neighbour_share
 from ..models.stacking import first_level, stacked, stacked_once
 from ..models.training import (
     OutOfFold, assemble, boosted_trees, class_weights, decision_tree, grid, hold_out, logistic, normalised_importances,
-    perceptron, pipeline, positive_score, random_forest, random_maps, search, search_table, winner_auc,
-    with_fold,
+    perceptron, pipeline, positive_score, random_forest, random_maps, search, search_table, stored_rows,
+    winner_auc, with_fold,
 )
 from ..operators.clean import Standardizer
 from ..operators.combine import join_scores
@@ -298,7 +298,7 @@ def m18(spark, d):
 @query("m18_winner_on_hold_out")
 def m18b(spark, d):
     """Trials on the train rows, and the winner's AUC on rows that no trial saw."""
-    train, held = hold_out(assemble(customers(spark, d), CUSTOMER_X), KEY, 0.75)
+    train, held = hold_out(stored_rows(assemble(customers(spark, d), CUSTOMER_X)), KEY, 0.75)
     gbt = boosted_trees(LABEL, maxIter=5)
     maps = random_maps({gbt.maxDepth: [2, 3, 4], gbt.stepSize: lambda r: round(0.05 + 0.3 * r.random(), 3)}, TRIALS)
     found = search(gbt, maps, train, LABEL, folds=3, key=KEY)
